@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import queries_relations, queries_sampling
+from framewright.llm import queries_relations, queries_sampling, queries_text
 from framewright.plans.registry import Registry
 
 LLM = Registry()
-for _module in (queries_sampling, queries_relations):
+for _module in (queries_sampling, queries_relations, queries_text):
     LLM.queries.update(_module.R.queries)
     LLM.oracles.update(_module.R.oracles)
