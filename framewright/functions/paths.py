@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 # Values written in an id field to say that there is none (fixed values).
 MISSING_IDS = ["", "-", "--", "0", "?", "n/a", "na", "nan", "nil", "none", "null", "tbd", "undefined", "unknown"]
 
-_BLANK = r"(?U)^[\s​﻿]+|[\s​﻿]+$"
+# Characters that count as white space, the two invisible ones included (fixed values).
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
 
 
 def trim_ws(c: Column) -> Column:
     """Strip every kind of outer white space, not only spaces."""
-    return F.regexp_replace(c, _BLANK, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def real_id(c: Column) -> Column:
@@ -28,10 +29,11 @@ def clip_key(c: Column) -> Column:
     Undoes back slashes, percent codes, scheme and host, download prefix, query string, empty and dot
     parts and letter case; the last three parts name the clip. NULL for null, blank and stand-in values.
     """
-    t = F.translate(real_id(c), "\\", "/")
-    t = F.regexp_replace(t, r"[?#].*$", "")
-    t = F.coalesce(F.try_url_decode(F.regexp_replace(t, r"\+", "%2B")), t)
-    t = F.regexp_replace(t, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*/", "")
-    parts = F.filter(F.transform(F.split(F.lower(t), "/"), trim_ws), lambda p: ~p.isin("", ".", ".."))
-    kept = F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), 3)
-    return F.when(F.size(parts) > 0, F.array_join(kept, "/"))
+    t = F.translate(trim_ws(c), "\\", "/")
+    t = F.replace(F.substring_index(F.substring_index(t, "?", 1), "#", 1), F.lit("+"), F.lit("%2B"))
+    t = F.lower(F.coalesce(F.try_url_decode(t), t))
+    # every step uses the one before it once: a repeated use would repeat the work per row
+    t = F.regexp_replace(t, r"^[a-z][^/]*://[^/]*/", "")
+    t = F.regexp_replace(t, r"(?:^|/)\s*(?:\.{0,2}\s*/)+", "/")
+    key = F.regexp_extract(t, r"(?:[^/]+/){0,2}[^/]+$", 0)
+    return F.when(~F.lower(trim_ws(c)).isin(MISSING_IDS), F.nullif(key, F.lit("")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from framewright.functions import text as T
 
-WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{200B}\x{FEFF}]"
+WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def q(s: str) -> str:
@@ -20,7 +20,7 @@ def blank_to_null(x: str) -> str:
 
 
 def norm_space(x: str) -> str:
-    ws = WS.replace("\\x{200B}\\x{FEFF}", "")
+    ws = WS.replace("{200B}", "{200A}").replace("\\x{FEFF}", "")
     return f"regexp_replace(lower({trim_ws(x)}), {q(ws + '+')}, ' ', 'g')"
 
 
