@@ -36,6 +36,12 @@ def chunk_texts(texts: list[bytes], mask_bits: int) -> tuple[np.ndarray, np.ndar
     pos = np.arange(n) - starts_text[owner]
     is_cut &= pos >= WINDOW - 1
     is_cut[ends[sizes > 0] - 1] = True
+    return digests(buf, owner, is_cut)
+
+
+def digests(buf: np.ndarray, owner: np.ndarray, is_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, digest, length) of the pieces that end at the marked bytes."""
+    n = len(buf)
     cut_at = np.flatnonzero(is_cut)
     starts = np.concatenate([[0], cut_at[:-1] + 1])
     length = cut_at - starts + 1
@@ -43,3 +49,14 @@ def chunk_texts(texts: list[bytes], mask_bits: int) -> tuple[np.ndarray, np.ndar
     offset = (np.arange(n) - starts[number]) & 0xFFF
     digest = np.add.reduceat((buf + np.uint64(1)) * _POWERS[offset], starts)
     return owner[starts], mix64(digest + length.astype(np.uint64) * _P), length
+
+
+def word_bits(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, a 64-bit map of its blank-separated words and their number."""
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    if not len(texts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8).astype(np.uint64)
+    owner, digest, _ = digests(buf, np.repeat(np.arange(len(texts)), sizes), buf == 32)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return np.bitwise_or.reduceat(np.uint64(1) << (digest >> np.uint64(58)), first).view(np.int64), np.bincount(owner, minlength=len(texts))

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.paths import clip_key
-from framewright.llm.chunking import chunk_texts
+from framewright.llm.chunking import chunk_texts, word_bits
 from framewright.session import cut
 
 COUNTER_BITS = 16
 MASK_BITS = 3
-RUN = 2
+RUN = 3
 
 _OPTIONS = re.compile(r"(?is)(?:^|\s)(?:answer\s+)?(?:options?|choices?)\s*[:：].*$|\n\s*\(?A\)?\s*[.):]?\s.*$")
 _LABEL = re.compile(r"^\W*(?:question|q)\s*[.:：)\-]+\s*")
@@ -61,6 +61,10 @@ def slip(a: str, b: str) -> bool:
     return d[-1][-1] <= most
 
 
+def slips_allowed(n_words: int) -> int:
+    return max(2, n_words // 6)
+
+
 def same_question(a: str, b: str, lead_in: int = 8) -> bool:
     """Whether two plain questions differ only in slips, spacing and a lead-in or closing of a few words."""
     if a == b:
@@ -87,20 +91,20 @@ def same_question(a: str, b: str, lead_in: int = 8) -> bool:
             changed += 1
         else:
             return False
-    return changed <= max(2, len(x) // 4) and len(x) >= 3
+    return changed <= slips_allowed(len(x)) and len(x) >= 3
 
 
 def question_rows(rows: DataFrame, id_col: str, video: str, problem: str, split: str, train: tuple[str, ...]) -> DataFrame:
-    """(id, clip, in_train, text) of rows that name a clip and ask something."""
+    """(id, clip, in_train, text) of rows that name a clip and ask something; the clip as a 64-bit hash of its key."""
     base = rows.select(F.col(id_col).cast("bigint").alias("id"), clip_key(F.col(video)).alias("clip"), F.col(split).isin(*train).alias("in_train"), F.col(problem).alias("text"))
-    base = base.filter("clip IS NOT NULL AND text IS NOT NULL AND in_train IS NOT NULL")
+    base = base.filter("clip IS NOT NULL AND text IS NOT NULL AND in_train IS NOT NULL").withColumn("clip", F.xxhash64("clip"))
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["text"] = [asked(t) for t in b["text"]]
             yield b[b["text"] != ""]
 
-    return base.mapInPandas(plain, "id bigint, clip string, in_train boolean, text string")
+    return base.mapInPandas(plain, "id bigint, clip bigint, in_train boolean, text string")
 
 
 def _chunks(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,11 +141,13 @@ def chunk_counters(texts: DataFrame) -> np.ndarray:
 
 
 def rare_chunks(texts: DataFrame, counters: np.ndarray, overlap: float) -> DataFrame:
-    """(clip, in_train, text, digest): of each record its rarest chunks, until the rest fall short of ``overlap`` of its length."""
+    """(k, t, bits, words): of each text its rarest chunks, until the rest fall short of ``overlap`` of its length.
+
+    ``k`` joins equal chunks on one clip; ``bits`` and ``words`` describe the text's words.
+    """
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.reset_index(drop=True)
             owner, digest, length = _chunks(b["text"])
             common = counters[(digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
             order = np.lexsort((digest, common, owner))
@@ -151,9 +157,12 @@ def rare_chunks(texts: DataFrame, counters: np.ndarray, overlap: float) -> DataF
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
             before = run - np.repeat(run[first], np.diff(np.append(first, len(o))))
             keep = whole[o] - before >= overlap * whole[o]
-            yield pd.DataFrame({"t": b["t"].to_numpy()[o[keep]], "clip": b["clip"].to_numpy()[o[keep]], "in_train": b["in_train"].to_numpy()[o[keep]], "in_eval": b["in_eval"].to_numpy()[o[keep]], "digest": digest[order][keep].view(np.int64)})
+            bits, words = word_bits([t.encode() for t in b["text"]])
+            at = o[keep]
+            k = digest[order][keep] ^ b["clip"].to_numpy().view(np.uint64)[at] * np.uint64(0x9E3779B97F4A7C15)
+            yield pd.DataFrame({"k": k.view(np.int64), "t": b["t"].to_numpy()[at], "bits": bits[at], "words": words[at].astype(np.int16)})
 
-    return texts.mapInPandas(pick, "t string, clip string, in_train boolean, in_eval boolean, digest bigint")
+    return texts.mapInPandas(pick, "k bigint, t bigint, bits bigint, words smallint")
 
 
 def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.35) -> DataFrame:
@@ -162,30 +171,25 @@ def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "vid
     Rows with a null or stand-in clip, split or text, or a text without words, are in no pair. Equal
     wordings are joined as one text and expanded at the end, so repeated rows give all their pairs.
     """
-    asks = cut(question_rows(rows, id_col, video, problem, split, train))
-    texts = asks.groupBy("clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"))
-    both = texts.groupBy("clip").agg(F.max("in_train").alias("a"), F.max("in_eval").alias("b")).filter("a AND b").select("clip")
-    texts = texts.join(both, "clip", "left_semi")
-    counters = chunk_counters(texts.select("text"))
-    keyed = texts.withColumn("t", F.col("text"))
-    rare = rare_chunks(keyed, counters, overlap).withColumn("k", F.xxhash64("clip", "digest"))
-    a = rare.filter("in_train").select("k", F.col("clip"), F.col("t").alias("ta"))
-    b = rare.filter("in_eval").select("k", F.col("clip").alias("clip_b"), F.col("t").alias("tb"))
-    near = a.join(b, "k").filter("clip = clip_b AND ta <> tb").select("clip", "ta", "tb")
-    short, long = F.least(F.length("ta"), F.length("tb")), F.greatest(F.length("ta"), F.length("tb"))
-    x = F.when(F.length("ta") <= F.length("tb"), F.col("ta")).otherwise(F.col("tb"))
-    y = F.when(F.length("ta") <= F.length("tb"), F.col("tb")).otherwise(F.col("ta"))
-    most = (short * 0.12).cast("int") + 2
-    close = (F.levenshtein(x, F.right(y, short)) <= most) | (F.levenshtein(x, F.left(y, short)) <= most)
-    near = near.filter((long - short <= 60) & close).distinct()
+    asks = cut(question_rows(rows, id_col, video, problem, split, train).withColumn("t", F.xxhash64("clip", "text")))
+    texts = asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"))
+    counters = chunk_counters(asks.select("text"))
+    a = rare_chunks(texts.filter("in_train").select("t", "clip", "text"), counters, overlap)
+    b = rare_chunks(texts.filter("in_eval").select("t", "clip", "text"), counters, overlap)
+    near = a.join(b.withColumnsRenamed({"t": "tb", "bits": "bits_b", "words": "words_b"}), "k").filter("t <> tb")
+    fewer = F.col("words") <= F.col("words_b")
+    lost = F.bit_count(F.when(fewer, F.col("bits")).otherwise(F.col("bits_b")).bitwiseAND(F.bitwise_not(F.when(fewer, F.col("bits_b")).otherwise(F.col("bits")))))
+    near = near.filter(lost <= F.greatest(F.lit(2), F.floor(F.least("words", "words_b") / 6)) + 1)
+    near = near.select(F.col("t").alias("ta"), "tb").distinct()
+    wording = texts.select(F.col("t").alias("ta"), F.col("clip").alias("ca"), F.col("text").alias("a"))
+    near = near.join(wording, "ta").join(wording.toDF("tb", "cb", "b"), "tb").filter("ca = cb")
 
     @F.pandas_udf("boolean")
     def same(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([same_question(i, j) for i, j in zip(p, q, strict=True)], dtype=bool)
 
-    near = near.filter(same("ta", "tb"))
-    equal = texts.filter("in_train AND in_eval").select("clip", F.col("text").alias("ta"), F.col("text").alias("tb"))
-    pairs = near.unionByName(equal)
-    left = asks.filter("in_train").select(F.col("clip"), F.col("text").alias("ta"), F.col("id").alias("train_id"))
-    right = asks.filter("NOT in_train").select(F.col("clip"), F.col("text").alias("tb"), F.col("id").alias("eval_id"))
-    return pairs.join(left, ["clip", "ta"]).join(right, ["clip", "tb"]).select("train_id", "eval_id")
+    near = near.filter(same("a", "b")).select("ta", "tb")
+    equal = texts.filter("in_train AND in_eval").select(F.col("t").alias("ta"), F.col("t").alias("tb"))
+    left = asks.filter("in_train").select(F.col("t").alias("ta"), F.col("id").alias("train_id"))
+    right = asks.filter("NOT in_train").select(F.col("t").alias("tb"), F.col("id").alias("eval_id"))
+    return near.unionByName(equal).join(left, "ta").join(right, "tb").select("train_id", "eval_id")
