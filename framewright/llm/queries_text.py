@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from framewright.llm import leaks, tokenizer
+from pyspark.sql import functions as F
+
+from framewright.llm import answers, leaks, quality, tokenizer, truncation
 from framewright.plans.registry import Registry
 from framewright.session import table
 
@@ -17,3 +19,41 @@ def p7_ids(spark, d):
 @R.query("p8_found")
 def p8_found(spark, d):
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _kinds(spark, d):
+    return quality.document_kinds(table(spark, d, "documents"))
+
+
+@R.query("p9_found")
+def p9_found(spark, d):
+    return _kinds(spark, d).filter("doc_kind IS NOT NULL").select("doc_id", "doc_kind")
+
+
+@R.query("p9_statistics")
+def p9_statistics(spark, d):
+    return _kinds(spark, d)
+
+
+def _cuts(spark, d):
+    return truncation.truncated_records(table(spark, d, "sft_raw"), table(spark, d, "sft_export"))
+
+
+@R.query("p1_found")
+def p1_found(spark, d):
+    return _cuts(spark, d).filter("is_cut").select("table_name", "rec_id")
+
+
+@R.query("p1_sources")
+def p1_sources(spark, d):
+    return _cuts(spark, d).groupBy("table_name", "source_key").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut"), F.round(F.avg(F.col("is_cut").cast("double")), 6).alias("cut_rate"))
+
+
+@R.query("p4_found")
+def p4_found(spark, d):
+    return answers.answer_defects(table(spark, d, "sft_raw")).filter("defect IS NOT NULL")
+
+
+@R.query("p4_report")
+def p4_report(spark, d):
+    return answers.answer_defects(table(spark, d, "sft_raw")).groupBy("answer_field", "defect").agg(F.count(F.lit(1)).alias("n"))
