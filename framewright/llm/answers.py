@@ -28,6 +28,8 @@ FIELDS = ("answer_raw", "cot_raw", "long_cot_raw")
 OPENING_WORDS = 24
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 8, 3
+#: Last words of the opening of a short response: templates vary in how they begin.
+TAIL_WORDS, SHORT_WORDS = 8, 45
 #: Unrelated prompts under which a template recurs, and how many of its responses may reach an answer.
 PROMPTS, ANSWERED = 3, 0.2
 LANGUAGE_ROWS = 4000
@@ -37,7 +39,7 @@ FILLERS = frozenset("empty,n a,na,nan,nil,no answer,none,null,tbd,todo,undefined
 
 _WORDS = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"”’»)]*\s+|\n+")
-_LETTER_NEAR_END = re.compile(r"(?<!\w)[A-J](?=번|[^\w'’]|$)")
+_LETTER_NEAR_END = re.compile(r"(?:[Oo]ption|[Oo]pción)\s+[A-J](?!\w)|(?<![\w'’])[A-HJ](?=번|이다|[.!:,)”]|\W*$)")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -127,6 +129,8 @@ def label(s: str, text: str, question: list[str], q_lang: str | None, cores: lis
     core = E._OPTION_MARK.sub("", s).strip().rstrip(".").lower()
     if core in cores or (state == "sound" and len(w) <= 5):
         return None
+    if len(w) <= 6 and reaches_answer(s, cores):
+        return None
     lang, lead = languages.guess(w)
     if lang and q_lang and lang != q_lang and lead > 6.0 and len(w) >= 4:
         return "other_language"
@@ -145,6 +149,17 @@ def opening_of(s: str, question: set[str]) -> str:
     return ""
 
 
+def keys_of(s: str, question: set[str]) -> list[str]:
+    """The opening of a response; of a short one also its first sentences and their last words, as templates vary in how they begin."""
+    keys = [opening_of(s, question)]
+    if len(words_of(s)) <= SHORT_WORDS:
+        for part in _SENTENCE.split(s)[:4]:
+            w = words_of(part)[:OPENING_WORDS]
+            keys.append(" ".join(w) if len(w) >= 4 else "")
+            keys.append("~ " + " ".join(w[-TAIL_WORDS:]) if TAIL_WORDS <= len(w) < OPENING_WORDS else "")
+    return sorted({k for k in keys if k})
+
+
 def minhash_bands(openings: DataFrame) -> DataFrame:
     """(band, opening) from hashes of the five-word shingles; shorter openings are one shingle."""
 
@@ -170,7 +185,7 @@ def shingles(text: str) -> set[str]:
 
 def refusal_openings(responses: DataFrame) -> DataFrame:
     """Openings of refusal templates. Answer rates count all responses of an opening, prompts only distinct ones."""
-    r = responses.filter("opening <> '' AND opening IS NOT NULL")
+    r = responses.select("answered", "prompt", F.explode("keys").alias("opening"))
     counts = r.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("answered").cast("int")).alias("answers"))
     open_ended = cut(counts.filter("answers < n"))
     bands = minhash_bands(open_ended.select("opening"))
@@ -218,12 +233,13 @@ def answer_defects(raw: DataFrame, id_col: str = "raw_id") -> DataFrame:
                     s = E.plain(text)
                     defect = label(s, text or "", question, q_lang, cores, model, languages, field)
                     looked = defect not in ("empty", "copies_question")
-                    out.append((r.id, field, defect, opening_of(s, known) if looked else "", looked and reaches_answer(s, cores), prompt))
-            yield pd.DataFrame(out, columns=["id", "answer_field", "defect", "opening", "answered", "prompt"])
+                    out.append((r.id, field, defect, keys_of(s, known) if looked else [], looked and reaches_answer(s, cores), prompt))
+            yield pd.DataFrame(out, columns=["id", "answer_field", "defect", "keys", "answered", "prompt"])
 
     seen = raw.select(F.col(id_col).cast("bigint").alias("id"), "question", "options", "question_lang", *FIELDS)
-    labelled = cut(seen.mapInPandas(run, "id bigint, answer_field string, defect string, opening string, answered boolean, prompt bigint"))
+    labelled = cut(seen.mapInPandas(run, "id bigint, answer_field string, defect string, keys array<string>, answered boolean, prompt bigint"))
     templates = refusal_openings(labelled)
-    joined = labelled.join(templates, "opening", "left")
-    refused = F.col("template") & ~F.col("answered")
-    return joined.select(F.col("id").alias(id_col), "answer_field", F.when(refused, "refusal").otherwise(F.col("defect")).alias("defect"))
+    hits = labelled.filter("NOT answered").select("id", "answer_field", F.explode("keys").alias("opening")).join(templates, "opening")
+    refused = hits.groupBy("id", "answer_field").agg(F.first("template").alias("refused"))
+    joined = labelled.join(refused, ["id", "answer_field"], "left")
+    return joined.select(F.col("id").alias(id_col), "answer_field", F.when(F.col("refused"), "refusal").otherwise(F.col("defect")).alias("defect"))

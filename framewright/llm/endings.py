@@ -63,7 +63,7 @@ def closing_class(s: str, cores: list[str]) -> str:
     """How a text closes, with its ties to the options."""
     low = s.lower()
     last = s[-1]
-    if s.endswith("…") or s.endswith("..."):
+    if s.rstrip(" ])").endswith(("…", "...")):
         return "ellipsis"
     bare = low.rstrip(_CLOSERS + ".!")
     if any(len(c) > 3 and bare.endswith(c.rstrip(_CLOSERS + ".!")) for c in cores):
@@ -160,7 +160,7 @@ def fit_endings(samples: list[tuple[str, list[str]]], limits: frozenset[int], se
         for _ in range(2):
             short = s[: rng.randint(len(s) // 4, len(s) - 2)].rstrip()
             if short and short[-1] not in _STOPS and closing_class(short, cores) not in ("stop", "option", "option_closed"):
-                ends = short + "…" if rng.random() < 0.04 else short
+                ends = short + rng.choice(("…", "...", " [...]", "\ufffd")) if rng.random() < 0.08 else short
                 rows.append(features(ends, cores, rng.random() < 0.6 and pile[0] > 0))
                 labels.append(1)
     w, b = np.zeros(SIZE), 0.0
