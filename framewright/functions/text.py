@@ -130,7 +130,7 @@ def plain_answer(c: Column) -> Column:
 
 def option_list(c: Column) -> Column:
     """Options of an array column: stripped, blanks dropped; NULL gives an empty array."""
-    return F.coalesce(F.filter(F.transform(c, trim_ws), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(c, lambda o: trim_ws(o)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def option_lines(c: Column) -> Column:

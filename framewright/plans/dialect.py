@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from framewright.functions import text as T
 
-WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def q(s: str) -> str:
@@ -20,8 +20,7 @@ def blank_to_null(x: str) -> str:
 
 
 def norm_space(x: str) -> str:
-    ws = WS.replace("{200B}", "{200A}").replace("\\x{FEFF}", "")
-    return f"regexp_replace(lower({trim_ws(x)}), {q(ws + '+')}, ' ', 'g')"
+    return f"regexp_replace(lower({trim_ws(x)}), {q(WS + '+')}, ' ', 'g')"
 
 
 def extract(x: str, pattern: str, group: int = 1) -> str:
@@ -75,3 +74,39 @@ def n_words(x: str) -> str:
 
 def n_chars(x: str) -> str:
     return f"CAST(length(coalesce({x}, '')) AS BIGINT)"
+
+
+def safe_stem(x: str, default: str = "sample") -> str:
+    kept = f"regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g')"
+    return f"coalesce(nullif(trim({kept}, '_'), ''), '{default}')"
+
+
+def parts(x: str) -> str:
+    return f"list_filter(string_split(coalesce({x}, ''), '/'), lambda p: p NOT IN ('', '.', '..'))"
+
+
+def drop_suffix(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '([^/])\\.[^./]+$', '\\1')"
+
+
+def options(x: str) -> str:
+    return f"coalesce(list_filter(list_transform({x}, lambda o: {trim_ws('o')}), lambda o: o <> ''), CAST([] AS VARCHAR[]))"
+
+
+def with_options(question: str, opts: str) -> str:
+    return f"(CASE WHEN len({options(opts)}) = 0 THEN {trim_ws(f'coalesce({question}, {chr(39) * 2})')} ELSE {trim_ws(f'coalesce({question}, {chr(39) * 2})')} || chr(10) || chr(10) || 'Options:' || chr(10) || array_to_string({options(opts)}, chr(10)) END)"
+
+
+def plain_answer(x: str) -> str:
+    t = trim_ws(f"coalesce({x}, '')")
+    rest = f"substr(lower({t}), strpos(lower({t}), '<answer>') + 8)"
+    cut = f"substr({t}, strpos(lower({t}), '<answer>') + 8, strpos({rest}, '</answer>') - 1)"
+    return f"(CASE WHEN strpos(lower({t}), '<answer>') = 0 OR strpos(lower({t}), '</answer>') = 0 THEN {t} WHEN strpos({rest}, '</answer>') > 0 THEN {trim_ws(cut)} END)"
+
+
+def tag_block(x: str, tag: str) -> str:
+    return f"nullif(regexp_extract(coalesce({x}, ''), '(?s)(<{tag}>\\s*.*?\\s*</{tag}>)', 1), '')"
+
+
+def has_media(frames: str, image: str, path: str) -> str:
+    return f"(coalesce(len(list_filter({frames}, lambda f: f IS NOT NULL AND f <> '')), 0) > 0 OR coalesce({image}, '') <> '' OR coalesce({path}, '') <> '')"
