@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.plans import fields, filters, scoring
+from framewright.plans import arrays, fields, filters, joins, scoring
 from framewright.plans.registry import Registry
 
 CORE = Registry()
-for _module in (scoring, fields, filters):
+for _module in (scoring, fields, filters, joins, arrays):
     CORE.queries.update(_module.R.queries)
     CORE.oracles.update(_module.R.oracles)
