@@ -153,7 +153,8 @@ def mix_sources(rows: DataFrame, targets: DataFrame, id_col: str, *, mode: str =
     fits = (F.col(mode) == F.col("__tm")) & (F.col("__td").isNull() | (F.col(depth) == F.col("__td"))) & (source_key(F.col(source)) == F.col("__ts"))
     # `uses` is bounded by MAX_TARGET_ROWS
     pool = rows.select(F.col(id_col), mode, depth, source).join(F.broadcast(uses), fits).select("mix_name", F.col("__ts").alias("source_key"), id_col)
-    mix = chosen.join(dense_index(pool, ["mix_name", "source_key"], [id_col], seed), ["mix_name", "source_key", "idx"]).drop("idx")
+    # slots grow with the data while their plan looks small, so the planner must not broadcast them
+    mix = chosen.hint("merge").join(dense_index(pool, ["mix_name", "source_key"], [id_col], seed), ["mix_name", "source_key", "idx"]).drop("idx")
     got = mix.groupBy(F.col("mix_name").alias("__gm"), F.col("source_key").alias("__gs")).agg(F.count(F.lit(1)).alias("__g"))
     full = report.join(got, (F.col("mix_name") == F.col("__gm")) & (F.col("source_key") == F.col("__gs")), "left")
     full = full.withColumn("rows_given", F.coalesce(F.col("__g"), F.lit(0))).drop("__gm", "__gs", "__g")
