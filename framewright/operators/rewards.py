@@ -56,9 +56,10 @@ def group_advantage(df: DataFrame, group: Sequence[str], reward: str = "reward")
 
 def reward_summary(df: DataFrame, group: Sequence[str], rewards: Sequence[str]) -> DataFrame:
     """One row: mean of each reward, of the total, and of the groups' deviations."""
-    per_group = df.groupBy(*group).agg(F.stddev_samp("reward").alias("__sd"))
-    sd = per_group.agg(F.avg("__sd").alias("reward_std"))
-    return df.agg(*[F.avg(r).alias(f"mean_{r}") for r in rewards], F.avg("reward").alias("mean_reward")).crossJoin(sd)
+    one = F.lit(1).alias("__one")
+    sd = df.groupBy(*group).agg(F.stddev_samp("reward").alias("__sd")).groupBy(one).agg(F.avg("__sd").alias("reward_std"))
+    means = df.groupBy(one).agg(*[F.avg(r).alias(f"mean_{r}") for r in rewards], F.avg("reward").alias("mean_reward"))
+    return means.join(sd, "__one").drop("__one")
 
 
 def step_metrics(df: DataFrame, step: str, metric: str, value: str, prefix: str = "") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.rows import in_eval, sample_order
@@ -17,29 +17,24 @@ def wanted_rows(total: Column, ratio: float) -> Column:
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], ratio: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``wanted_rows`` rows of every stratum; a null stratum is one of its own. One shuffle."""
+    """Exactly ``wanted_rows`` rows of every stratum, the first in a seeded order; a null stratum is one of its own.
+
+    One stratum may hold a third of all rows: ranks come from hash ranges, never from one window per stratum.
+    """
     _check_ratio(ratio)
     if ratio == 1:
         return df
-    w = Window.partitionBy(*strata)
-    order = w.orderBy(sample_order(seed, *[F.col(i) for i in ids]), *ids)
-    ranked = df.withColumn("__k", F.row_number().over(order)).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("__k") <= wanted_rows(F.col("__n"), ratio)).drop("__k", "__n")
-
-
-def stratified_sample_wide(df: DataFrame, strata: Sequence[str], ratio: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """The same counts where one stratum may hold a third of all rows: ranks come from hash ranges, never one window per stratum."""
-    _check_ratio(ratio)
     sizes = df.groupBy(*[F.col(s).alias(f"__s{i}") for i, s in enumerate(strata)]).agg(F.count(F.lit(1)).alias("__n"))
     on = F.lit(True)
     for i, s in enumerate(strata):
         on = on & F.col(s).eqNullSafe(F.col(f"__s{i}"))
-    return dense_index(df, strata, ids, seed, name="__k").join(sizes, on).filter(F.col("__k") < wanted_rows(F.col("__n"), ratio)).select(*df.columns)
+    ranked = dense_index(df, strata, ids, name="__k", order=sample_order(seed, *[F.col(i) for i in ids]))
+    return ranked.join(sizes, on).filter(F.col("__k") < wanted_rows(F.col("__n"), ratio)).select(*df.columns)
 
 
 def global_sample(df: DataFrame, ratio: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``wanted_rows`` rows of the table; none of an empty one."""
-    return stratified_sample_wide(df.withColumn("__all", F.lit(1)), ["__all"], ratio, ids, seed).drop("__all")
+    return stratified_sample(df.withColumn("__all", F.lit(1)), ["__all"], ratio, ids, seed).drop("__all")
 
 
 def sampling_stats(df: DataFrame, strata: Sequence[str], ratio: float) -> DataFrame:
@@ -54,12 +49,12 @@ def shuffled(df: DataFrame, ids: Sequence[str], seed: int = 42) -> DataFrame:
 
 def head_split(df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """Add ``split``: the first min(max(1, ceil(n x fraction)), n - 1) rows of a seeded order are eval. Fewer than two rows are an error."""
-    ranked = dense_index(df.withColumn("__all", F.lit(1)), ["__all"], ids, seed, name="__k").drop("__all")
-    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    ranked = dense_index(df.withColumn("__all", F.lit(1)), ["__all"], ids, seed, name="__k")
+    n = df.groupBy(F.lit(1).alias("__all")).agg(F.count(F.lit(1)).alias("__n"))
     size = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(float(fraction))).cast("bigint"))
     checked = F.when(F.col("__n") < 2, F.raise_error(F.lit("a split needs two rows at least"))).otherwise(F.least(size, F.col("__n") - 1))
-    # one row
-    return ranked.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("__k") < checked, "eval").otherwise("train")).select(*df.columns, "split")
+    # the right side is one row
+    return ranked.join(F.broadcast(n), "__all").withColumn("split", F.when(F.col("__k") < checked, "eval").otherwise("train")).select(*df.columns, "split")
 
 
 def hash_split(df: DataFrame, key: Column, fraction: float, seed: int = 42) -> DataFrame:

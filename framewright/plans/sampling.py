@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framewright.functions.rows import sample_order
 from framewright.operators import resolve as V
 from framewright.operators import sampling as S
+from framewright.operators.indexing import dense_index
 from framewright.plans.registry import Registry
 from framewright.session import table
 
@@ -35,7 +36,7 @@ def stratified_sample_by_pair(spark, d):
 
 @R.query("wide_sample_counts", "SELECT lang, CAST(least(count(*), greatest(1, round_even(count(*) * 0.3::DOUBLE, 0))) AS BIGINT) AS n FROM documents GROUP BY ALL")
 def wide_sample_counts(spark, d):
-    s = S.stratified_sample_wide(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], 0.3, ["doc_id"])
+    s = S.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], 0.3, ["doc_id"])
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -51,11 +52,9 @@ def sampling_stats(spark, d):
 
 @R.query("seeded_shuffle", f"SELECT s_suppkey, {_rank('', '', 's_suppkey')} AS place FROM supplier")
 def seeded_shuffle(spark, d):
-    df = table(spark, d, "supplier").select("s_suppkey")
-    ranked = df.withColumn("o", sample_order(42, C("s_suppkey")))
-    # counting smaller keys of a table this small gives the place without a global window
-    other = ranked.select(C("o").alias("p"))
-    return ranked.join(F.broadcast(other), C("p") <= C("o")).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("place"))
+    df = table(spark, d, "supplier").select("s_suppkey", F.lit(1).alias("one"))
+    ranked = dense_index(df, ["one"], ["s_suppkey"], order=sample_order(42, C("s_suppkey")))
+    return ranked.select("s_suppkey", (C("idx") + 1).alias("place"))
 
 
 @R.query("shuffle_eval_split", "SELECT CAST(least(greatest(1, ceil(count(*) * 0.05::DOUBLE)), count(*) - 1) AS BIGINT) AS n_eval, CAST(count(*) - least(greatest(1, ceil(count(*) * 0.05::DOUBLE)), count(*) - 1) AS BIGINT) AS n_train FROM orders")

@@ -18,9 +18,8 @@ def test_dense_index_is_a_permutation_within_groups(spark):
 
 def test_stratified_counts_are_exact(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3] if i < 9 else "d") for i in range(10)] + [(10, None)], "id int, s string")
-    for f in (sampling.stratified_sample, sampling.stratified_sample_wide):
-        n = {r.s: r["count"] for r in f(df, ["s"], 0.5, ["id"]).groupBy("s").count().collect()}
-        assert n == {"a": 2, "b": 2, "c": 2, "d": 1, None: 1}
+    n = {r.s: r["count"] for r in sampling.stratified_sample(df, ["s"], 0.5, ["id"]).groupBy("s").count().collect()}
+    assert n == {"a": 2, "b": 2, "c": 2, "d": 1, None: 1}
     assert sampling.stratified_sample(df, ["s"], 1, ["id"]).count() == 11
     with pytest.raises(ValueError):
         sampling.global_sample(df, 0, ["id"])

@@ -45,7 +45,7 @@ def test_no_python_in_core_plans(spark):
         assert not re.search(r"Python|Pandas|ArrowEval|CartesianProduct", plan), name
 
 
-@pytest.mark.parametrize("name", ["group_advantage", "stratified_sample"])
+@pytest.mark.parametrize("name", ["group_advantage", "group_stats_to_members"])
 def test_one_exchange(spark, name):
     plan = CORE.queries[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange\b", plan)) <= 1
