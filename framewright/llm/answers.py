@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from framewright.llm import endings as E
 from framewright.llm.chunking import mix64
 from framewright.llm.related import components
-from framewright.llm.truncation import trace_cut, truncation_model
+from framewright.llm.truncation import truncation_model
 from framewright.session import cut
 
 FIELDS = ("answer_raw", "cot_raw", "long_cot_raw")
 #: Words of the first sentence that make an opening.
 OPENING_WORDS = 24
+#: Sentences among which the opening is looked for.
+OPENING_SENTENCES = 4
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 8, 3
 #: Last words of the opening of a short response: templates vary in how they begin.
@@ -33,6 +35,7 @@ TAIL_WORDS, SHORT_WORDS = 8, 45
 #: Unrelated prompts under which a template recurs, and how many of its responses may reach an answer.
 PROMPTS, ANSWERED = 3, 0.2
 LANGUAGE_ROWS = 4000
+WORD_CACHE = 200_000
 
 # Spellings of "nothing" (fixed values).
 FILLERS = frozenset("empty,n a,na,nan,nil,no answer,none,null,tbd,todo,undefined,unknown,keine,leer,ninguna,ninguno,nada,aucun,aucune,rien,vide,없음".split(","))
@@ -55,11 +58,14 @@ class Languages:
             counts[lang].update(self.tokens(words_of(text)))
         vocabulary = {t for c in counts.values() for t in c}
         self.names = sorted(counts)
-        self.score: dict[str, np.ndarray] = {}
         totals = np.array([sum(counts[k].values()) + 0.5 * len(vocabulary) for k in self.names]) if self.names else np.zeros(0)
+        self.score: dict[str, np.ndarray] = {}
         for t in vocabulary:
             row = np.array([counts[k][t] + 0.5 for k in self.names]) / totals
-            self.score[t] = np.log(row / row.mean())
+            self.score[t] = np.clip(np.log(row / row.mean()), -3, 3)
+        # rows of tokens met so far: a score per language, Korean words, words that are no numbers
+        self.rows = np.zeros((1, len(self.names) + 2))
+        self.place: dict[str, int] = {}
 
     @staticmethod
     def tokens(words: list[str]) -> list[str]:
@@ -69,35 +75,61 @@ class Languages:
                 out += [w, "^" + w[:2], "$" + w[-2:]]
         return out
 
-    def guess(self, words: list[str]) -> tuple[str | None, float]:
-        """(language, lead over the next in log odds); None without words to go by."""
+    def _learn(self, tokens: list[str]) -> None:
+        zero = np.zeros(len(self.names) + 2)
+        made = [zero]
+        for t in tokens:
+            row = zero.copy()
+            for w in _WORDS.findall(t):
+                row[-2] += any("가" <= c <= "힣" for c in w)
+                row[-1] += not w.isdigit()
+                for x in self.tokens([w]):
+                    if x in self.score:
+                        row[:-2] += self.score[x]
+            made.append(row)
+        if len(self.place) + len(tokens) > WORD_CACHE:
+            self.place, self.rows = {}, self.rows[:1]
+        first = len(self.rows)
+        self.rows = np.concatenate([self.rows, np.array(made[1:]).reshape(-1, len(zero))])
+        self.place.update(zip(tokens, range(first, first + len(tokens)), strict=True))
+
+    def guess(self, text: str) -> tuple[str | None, float]:
+        """(language, lead over the next in log odds) of a text in lower case; None without words to go by."""
         if len(self.names) < 2:
             return None, 0.0
-        z = np.zeros(len(self.names))
-        hangul = sum(1 for w in words if any("가" <= c <= "힣" for c in w))
-        if hangul * 2 > len([w for w in words if not w.isdigit()]):
+        tokens = text.split()
+        try:
+            at = [self.place[t] for t in tokens]
+        except KeyError:
+            new = [t for t in dict.fromkeys(tokens) if t not in self.place]
+            if len(self.place) + len(new) > WORD_CACHE:
+                new = list(dict.fromkeys(tokens))
+            self._learn(new)
+            at = [self.place[t] for t in tokens]
+        z = self.rows.take(at, axis=0).sum(axis=0)
+        if z[-1] == 0:
+            return None, 0.0
+        if z[-2] * 2 > z[-1]:
             return "ko", 99.0
-        for t in self.tokens(words):
-            s = self.score.get(t)
-            if s is not None:
-                z += np.clip(s, -3, 3)
-        order = np.argsort(-z)
-        return (self.names[order[0]], float(z[order[0]] - z[order[1]])) if z.any() else (None, 0.0)
+        first, second = sorted(z[:-2].tolist(), reverse=True)[:2]
+        return (self.names[int(z[:-2].argmax())], first - second) if first > second else (None, 0.0)
+
+
+_NAMES_OPTION = frozenset(("option", "option_closed", "letter", "letter_in_brackets", "letter_marked"))
 
 
-def reaches_answer(s: str, cores: list[str]) -> bool:
+def reaches_answer(s: str, kind: str, state: str | None) -> bool:
     """Whether a response names an option, by letter or by wording, at its end or alone."""
-    if E.short_answer(s, cores) is not None or E.closing_class(s, cores) in ("option", "option_closed", "letter", "letter_in_brackets", "letter_marked"):
-        return True
-    return bool(_LETTER_NEAR_END.search(s[-42:]))
+    return kind in _NAMES_OPTION or state is not None or bool(_LETTER_NEAR_END.search(s[-42:]))
 
 
-def copies_question(s: str, question: list[str], cores: list[str]) -> bool:
+def copies_question(s: str, a: list[str], question: list[str], cores: list[str]) -> bool:
     """Whether a response only says the question again, perhaps with a lead-in, its options or twice."""
-    a = words_of(s)
     if len(question) < 3 or not a:
         return False
     q = " ".join(question)
+    if len(a) > 3 * (len(question) + sum(len(c.split()) for c in cores)) + 20:
+        return False
     text = f" {' '.join(a)} "
     if f" {q} " not in text:
         return len(a) >= 5 and len(a) >= 0.6 * len(question) and q.startswith(" ".join(a)[:-1])
@@ -116,32 +148,29 @@ def copies_question(s: str, question: list[str], cores: list[str]) -> bool:
     return sum(1 for w in left if len(w) > 1) <= 7
 
 
-def label(s: str, text: str, question: list[str], q_lang: str | None, cores: list[str], model: E.Endings, languages: Languages, field: str) -> str | None:
-    """What a response shows by itself; None for sound ones and refusals."""
-    w = words_of(s)
-    if not w or " ".join(w) in FILLERS:
+def label(s: str, w: list[str], text: str, question: list[str], q_lang: str | None, cores: list[str], model: E.Endings, languages: Languages, kind: str, state: str | None) -> str | None:
+    """What a response shows by itself; None for sound ones and refusals. ``kind`` is how it closes, ``state`` what it is as a short answer."""
+    if not w or (len(w) <= 3 and " ".join(w) in FILLERS):
         return "empty"
-    state = E.short_answer(s, cores) if field == "answer_raw" or len(s) < 120 else None
     if state == "cut":
         return "truncated"
-    if copies_question(s, question, cores):
+    if copies_question(s, w, question, cores):
         return "copies_question"
-    core = E._OPTION_MARK.sub("", s).strip().rstrip(".").lower()
-    if core in cores or (state == "sound" and len(w) <= 5):
+    if len(s) < 400 and E._OPTION_MARK.sub("", s).strip().rstrip(".").lower() in cores or (state == "sound" and len(w) <= 5):
         return None
-    if len(w) <= 6 and reaches_answer(s, cores):
+    if len(w) <= 6 and reaches_answer(s, kind, state):
         return None
-    lang, lead = languages.guess(w)
+    lang, lead = languages.guess(s.lower())
     if lang and q_lang and lang != q_lang and lead > 6.0 and len(w) >= 4:
         return "other_language"
     if state == "sound":
         return None
-    return "truncated" if (trace_cut(model, text, cores) if field != "answer_raw" else model.cut(s, cores, len(text))) else None
+    return "truncated" if model.cut(s, cores, len(text), kind) else None
 
 
 def opening_of(s: str, question: set[str]) -> str:
     """The first sentence that doesn't restate the question, at most OPENING_WORDS words of it."""
-    for part in _SENTENCE.split(s):
+    for part in _SENTENCE.split(s, maxsplit=OPENING_SENTENCES)[:OPENING_SENTENCES]:
         w = words_of(part)
         # a lead-in names things of the question; a template does not
         if w and (len(w) < 6 or sum(1 for x in w[4:] if x in question) < 0.6 * len(w[4:])):
@@ -149,11 +178,11 @@ def opening_of(s: str, question: set[str]) -> str:
     return ""
 
 
-def keys_of(s: str, question: set[str]) -> list[str]:
+def keys_of(s: str, n_words: int, question: set[str]) -> list[str]:
     """The opening of a response; of a short one also its first sentences and their last words, as templates vary in how they begin."""
     keys = [opening_of(s, question)]
-    if len(words_of(s)) <= SHORT_WORDS:
-        for part in _SENTENCE.split(s)[:4]:
+    if n_words <= SHORT_WORDS:
+        for part in _SENTENCE.split(s)[:OPENING_SENTENCES]:
             w = words_of(part)[:OPENING_WORDS]
             keys.append(" ".join(w) if len(w) >= 4 else "")
             keys.append("~ " + " ".join(w[-TAIL_WORDS:]) if TAIL_WORDS <= len(w) < OPENING_WORDS else "")
@@ -209,6 +238,28 @@ def refusal_openings(responses: DataFrame) -> DataFrame:
     return named.join(found.select("cluster"), "cluster").select("opening", F.lit(True).alias("template"))
 
 
+def respond(r, model: E.Endings, languages: Languages) -> list[tuple]:
+    """(id, field, own defect, keys, reaches an answer, prompt) of the responses of a record."""
+    question, cores = words_of(r.question), E.option_cores(r.options)
+    q_lang, lead = languages.guess((r.question or "").lower())
+    if lead < 3.0:
+        q_lang = (r.question_lang or "").strip().lower()[:2] or None
+    room = len(r.question or "") + sum(map(len, cores))
+    known, prompt = set(question), zlib.crc32(" ".join(question).encode())
+    out = []
+    for field in FIELDS:
+        text = getattr(r, field)
+        s = E.plain(text)
+        # a response more than twice its prompt is no copy, so its words need no exact form
+        w = words_of(s) if len(s) <= 200 + 2 * room else s.split()
+        state = E.short_answer(s, cores) if field == "answer_raw" or len(s) < 120 else None
+        kind = E.closing_class(s, cores) if s else "none"
+        defect = label(s, w, text or "", question, q_lang, cores, model, languages, kind, state)
+        looked = defect not in ("empty", "copies_question")
+        out.append((r.id, field, defect, keys_of(s, len(w), known) if looked else [], looked and reaches_answer(s, kind, state), prompt))
+    return out
+
+
 def answer_defects(raw: DataFrame, id_col: str = "raw_id") -> DataFrame:
     """(id, answer_field, defect) of every response; ``defect`` is NULL for sound ones.
 
@@ -216,24 +267,12 @@ def answer_defects(raw: DataFrame, id_col: str = "raw_id") -> DataFrame:
     Repeated records are all labelled. Extra columns are ignored; an empty table gives no rows.
     """
     model = truncation_model(raw, "long_cot_raw", "options", id_col)
-    rows = raw.filter("question_lang IS NOT NULL AND question IS NOT NULL").select("question_lang", "question", "long_cot_raw", F.xxhash64(id_col).alias("h"), id_col).orderBy("h", id_col).limit(LANGUAGE_ROWS).collect()
+    rows = [r for r in E.bounded_sample(raw.select("question_lang", "question", "long_cot_raw", id_col), [id_col], LANGUAGE_ROWS).collect() if r.question_lang and r.question]
     languages = Languages([(r.question_lang.strip().lower()[:2], f"{r.question} {(r.long_cot_raw or '')[:300]}") for r in rows])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                question, cores = words_of(r.question), E.option_cores(r.options)
-                q_lang, lead = languages.guess(question)
-                if lead < 3.0:
-                    q_lang = (r.question_lang or "").strip().lower()[:2] or None
-                known, prompt = set(question), zlib.crc32(" ".join(question).encode())
-                for field in FIELDS:
-                    text = getattr(r, field)
-                    s = E.plain(text)
-                    defect = label(s, text or "", question, q_lang, cores, model, languages, field)
-                    looked = defect not in ("empty", "copies_question")
-                    out.append((r.id, field, defect, keys_of(s, known) if looked else [], looked and reaches_answer(s, cores), prompt))
+            out = [x for r in b.itertuples(index=False) for x in respond(r, model, languages)]
             yield pd.DataFrame(out, columns=["id", "answer_field", "defect", "keys", "answered", "prompt"])
 
     seen = raw.select(F.col(id_col).cast("bigint").alias("id"), "question", "options", "question_lang", *FIELDS)

@@ -7,10 +7,12 @@ limit, that is one of the lengths that values pile up at. Every value is scored.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,11 @@ _MARKUP = re.compile(r"</?[A-Za-z_]{1,20}\s*>")
 _LETTER = re.compile(r"[(\[]?([A-Ja-j])[)\].:]?")
 _OPTION_MARK = re.compile(r"^\s*[(\[]?[A-J][)\].:]+\s*")
 _LAST_LETTER = re.compile(r"(\S+?)\s*([:：→]\s*|\s)([(\[]?)([A-J])([)\]]?)$")
+LETTERS = tuple("ABCDEFGHIJ")
 _STOPS = ".!?。！？"
 _CLOSERS = "”\"’'»)]*_"
+_SAID = re.compile(r"(?:[^\W\d_]+\s+){0,3}[^\W\d_]+\s*[:：→]\s*[(\[]?[A-J][)\]]?\.?")
+_AT_OPTION = re.compile(r"(?:^|\s)[A-J][:.)]\s[^.!?]{8,}$")
 _NAMED = re.compile(r"(?:^|[\s(])[A-J](?:[:.)]|,\s*[“\"«])\s*")
 _OPTION_LINE = re.compile(r"^\s*[(\[]?[A-J][)\].:]+\s*(\S.*)$")
 
@@ -55,24 +60,25 @@ def options_of_prompt(prompt: str | None) -> list[str]:
     return option_cores([m.group(1) for m in found if m])
 
 
+@lru_cache(maxsize=100_000)
 def _slot(*parts: object) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode("utf-8", "replace")) & (SIZE - 1)
 
 
 def closing_class(s: str, cores: list[str]) -> str:
     """How a text closes, with its ties to the options."""
-    low = s.lower()
+    low = s[-420:].lower()
     last = s[-1]
-    if s.rstrip(" ])").endswith(("…", "...")):
+    if s[-12:].rstrip(" ])").endswith(("…", "...")):
         return "ellipsis"
-    bare = low.rstrip(_CLOSERS + ".!")
-    if any(len(c) > 3 and bare.endswith(c.rstrip(_CLOSERS + ".!")) for c in cores):
+    bare = low[-400:].rstrip(_CLOSERS + ".!")
+    if any([len(c) > 3 and bare.endswith(c.rstrip(_CLOSERS + ".!")[-400:]) for c in cores]):
         return "option" if last not in _CLOSERS else "option_closed"
     if last in _STOPS or (last in _CLOSERS and len(s) > 1 and s[-2] in _STOPS):
         return "stop"
-    if re.search(r"[(\[][A-J][)\]]$", s):
+    if s[-1] in ")]" and s[-2:-1] in LETTERS and s[-3:-2] in ("(", "["):
         return "letter_in_brackets"
-    if re.fullmatch(_LETTER, s):
+    if len(s) <= 3 and _LETTER.fullmatch(s):
         return "letter"
     m = _LAST_LETTER.search(s[-60:])
     if m:
@@ -86,19 +92,18 @@ def closing_class(s: str, cores: list[str]) -> str:
     return "word" if last.isalpha() else "mark"
 
 
-def features(s: str, cores: list[str], at_limit: bool) -> list[int]:
+def features(s: str, cores: list[str], at_limit: bool, kind: str | None = None) -> list[int]:
     """Hashed features of a text that is not empty."""
-    kind = closing_class(s, cores)
+    kind = kind or closing_class(s, cores)
     tail = s[-80:]
-    words = re.findall(r"[^\W_]+|[^\w\s]", tail)
     mark = ""
     if kind in ("letter_marked", "letter_loose"):
         m = _LAST_LETTER.search(tail)
         mark = m.group(1).lower() if m else ""
     part = s[-400:]
     opened = (part.count("“") > part.count("”")) or part.count("(") > part.count(")") or part.count("«") > part.count("»")
-    line = s.rsplit("\n", 1)[-1]
-    at_option = bool(re.search(r"(?:^|\s)[A-J][:.)]\s[^.!?]{8,}$", line))
+    line = s.rsplit("\n", 1)[-1][-240:]
+    at_option = line[-1:] not in _STOPS and bool(_AT_OPTION.search(line))
     out = [
         _slot("kind", kind),
         _slot("kind+limit", kind, at_limit),
@@ -108,6 +113,7 @@ def features(s: str, cores: list[str], at_limit: bool) -> list[int]:
         _slot("1", s[-1]) if kind not in ("option", "option_closed") else _slot("1", kind),
     ]
     if kind not in ("option", "option_closed", "stop", "letter_in_brackets", "letter_marked"):
+        words = re.findall(r"[^\W_]+|[^\w\s]", tail)
         out += [_slot("2", s[-2:]), _slot("3", s[-3:]), _slot("w", *[w.lower() for w in words[-1:]]), _slot("ww", *[w.lower() for w in words[-2:]])]
     return out
 
@@ -116,17 +122,18 @@ class Endings:
     """The fitted model."""
 
     def __init__(self, weights: np.ndarray, bias: float, limits: frozenset[int]) -> None:
-        self.weights, self.bias, self.limits = weights, bias, limits
+        self.by_slot, self.bias, self.limits = weights.tolist(), bias, limits
 
-    def score(self, s: str, cores: list[str], length: int) -> float:
+    def score(self, s: str, cores: list[str], length: int, kind: str | None = None) -> float:
         """Probability that the text was cut; 0 for an empty text."""
         if not s:
             return 0.0
-        z = self.bias + float(self.weights[features(s, cores, length in self.limits)].sum())
-        return 1.0 / (1.0 + float(np.exp(-max(-30.0, min(30.0, z)))))
+        at, w = features(s, cores, length in self.limits, kind), self.by_slot
+        z = self.bias + sum([w[i] for i in at])
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def cut(self, s: str, cores: list[str], length: int) -> bool:
-        return self.score(s, cores, length) > 0.5
+    def cut(self, s: str, cores: list[str], length: int, kind: str | None = None) -> bool:
+        return self.score(s, cores, length, kind) > 0.5
 
 
 def field_limits(df: DataFrame, texts: Sequence[Column]) -> frozenset[int]:
@@ -182,10 +189,21 @@ def fit_endings(samples: list[tuple[str, list[str]]], limits: frozenset[int], se
     return Endings(w[:SIZE], b, limits)
 
 
-def sampled_texts(df: DataFrame, text: Column, options: Column, ids: Sequence[str], n: int = TRAIN_ROWS) -> list[tuple[str, list[str]]]:
-    """The first ``n`` values in a random order that the ids fix."""
-    rows = df.filter(F.length(text) > 80).select(text.alias("t"), options.alias("o"), F.xxhash64(*ids).alias("h"), *ids).orderBy("h", *ids).limit(n)
-    return [(r.t, option_cores(r.o) if not isinstance(r.o, str) else options_of_prompt(r.o)) for r in rows.collect()]
+def bounded_sample(df: DataFrame, ids: Sequence[str], n: int) -> DataFrame:
+    """At most ``n`` rows, the first in a random order that the ids fix.
+
+    A hash threshold thins the rows before they are ordered, so that what reaches the driver stays near
+    ``n`` rows however many partitions there are.
+    """
+    share = min(1.0, 1.25 * n / max(1, df.count()))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(17), *ids), 1)
+    return df.filter(h <= F.lit(min(2**63 - 1, int(share * 2.0**63)))).orderBy(h, *ids).limit(n)
+
+
+def sampled_texts(df: DataFrame, text: str, options: str, ids: Sequence[str], n: int = TRAIN_ROWS) -> list[tuple[str, list[str]]]:
+    """Texts with their option cores, from a bounded sample of the rows."""
+    rows = bounded_sample(df.select(text, options, *ids), ids, n).collect()
+    return [(r[text], option_cores(r[options])) for r in rows if r[text] and len(r[text]) > 80]
 
 
 def short_answer(a: str, cores: list[str]) -> str | None:
@@ -193,7 +211,9 @@ def short_answer(a: str, cores: list[str]) -> str | None:
     s = plain(a)
     if not s:
         return "sound"
-    if _LETTER.fullmatch(s) or re.fullmatch(r"(?:[^\W\d_]+\s+){0,3}[^\W\d_]+\s*[:：→]\s*[(\[]?[A-J][)\]]?\.?", s):
+    if len(s) <= 3 and _LETTER.fullmatch(s):
+        return "sound"
+    if len(s) <= 80 and _SAID.fullmatch(s):
         return "sound"
     marked = _OPTION_MARK.match(s) is not None
     core = _OPTION_MARK.sub("", s).strip().lower()

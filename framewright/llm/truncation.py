@@ -94,7 +94,7 @@ def trace_cut(model: E.Endings, text: str | None, cores: list[str]) -> bool:
 
 def truncation_model(raw: DataFrame, text: str = "long_cot_raw", options: str = "options", id_col: str = "raw_id") -> E.Endings:
     limits = E.field_limits(raw, [F.col(text)])
-    return E.fit_endings(E.sampled_texts(raw, F.col(text), F.col(options), [id_col]), limits)
+    return E.fit_endings(E.sampled_texts(raw, text, options, [id_col]), limits)
 
 
 def truncated_records(raw: DataFrame, export: DataFrame) -> DataFrame:
