@@ -26,10 +26,10 @@ def category_report(df: DataFrame, targets: DataFrame, field: str) -> DataFrame:
     All rows count in the total, those with a null category too. Over an empty table nothing is wanted.
     """
     counts = df.groupBy(category_key(F.col(field)).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("table_rows"))
+    total = counts.groupBy(F.lit(1).alias("__one")).agg(F.sum("__n").alias("table_rows"))
     t = targets.select("plan_name", "category", category_key(F.col("category")).alias("category_key"), "target_share", F.col("min_rows").cast("bigint").alias("min_rows"), "sample_fraction")
-    # `total` is one row
-    j = t.crossJoin(F.broadcast(total)).join(counts, F.col("category_key") == F.col("__c"), "left")
+    # `total` is one row, or none of an empty table
+    j = t.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one", "left").withColumn("table_rows", F.coalesce("table_rows", F.lit(0))).join(counts, F.col("category_key") == F.col("__c"), "left")
     n = F.coalesce(F.col("__n"), F.lit(0)).cast("bigint")
     wanted = F.col("target_share") * F.col("sample_fraction") * F.col("table_rows")
     return j.select("plan_name", "category", "category_key", "target_share", "min_rows", "sample_fraction", F.col("table_rows").cast("bigint").alias("table_rows"), n.alias("category_rows"), wanted.alias("wanted"), (n < wanted).alias("too_few"))
