@@ -216,3 +216,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
 
     out = docs.select(doc_id, doc_text).mapInPandas(scan, "d bigint, i bigint")
     return out.withColumnsRenamed({"d": doc_id, "i": item_id})
+
+
+def without_leaks(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents that hold no leaked passage; those with a null id stay."""
+    return docs.join(found.select(doc_id).distinct(), doc_id, "left_anti")

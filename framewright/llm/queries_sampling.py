@@ -77,3 +77,13 @@ def p3_sample(spark, d):
 @R.query("p3_shares", f"SELECT plan_name, category, CAST(table_rows AS BIGINT) AS table_rows, CAST(category_rows AS BIGINT) AS category_rows, category_rows < target_share * sample_fraction * table_rows AS too_few FROM ({COUNTS})")
 def p3_shares(spark, d):
     return _samples(spark, d)[1].select("plan_name", "category", "table_rows", "category_rows", "too_few")
+
+
+@R.query("p2_report")
+def p2_report(spark, d):
+    return _mix(spark, d)[1].select("mix_name", "source_subset", "target_share", "rows_given", F.round("share_reached", 6).alias("share_reached"), "out_of_reach")
+
+
+@R.query("p3_report")
+def p3_report(spark, d):
+    return _samples(spark, d)[1].select("plan_name", "category", "target_share", "min_rows", "drawn", F.round("share_drawn", 6).alias("share_drawn"), "missed")

@@ -57,3 +57,27 @@ def p4_found(spark, d):
 @R.query("p4_report")
 def p4_report(spark, d):
     return answers.answer_defects(table(spark, d, "sft_raw")).groupBy("answer_field", "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query("p8_clean")
+def p8_clean(spark, d):
+    docs = table(spark, d, "documents")
+    return leaks.without_leaks(docs, p8_found(spark, d)).select("doc_id", "source", "lang")
+
+
+@R.query("p8_report")
+def p8_report(spark, d):
+    names = table(spark, d, "eval_items").select("item_id", "benchmark_name")
+    return p8_found(spark, d).join(names, "item_id").groupBy("benchmark_name").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
+
+
+@R.query("p9_report")
+def p9_report(spark, d):
+    return _kinds(spark, d).groupBy("language", "doc_kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance2"), 3).alias("mean_distance2"))
+
+
+@R.query("p7_lengths")
+def p7_lengths(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    sizes = p7_ids(spark, d).select("doc_id", F.size("ids").alias("n"))
+    return docs.join(sizes, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("ids"), F.max("n").alias("longest"))
