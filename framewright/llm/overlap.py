@@ -26,7 +26,6 @@ from framewright.session import cut
 
 COUNTER_BITS = 16
 MASK_BITS = 3
-RUN = 3
 
 _OPTIONS = re.compile(r"(?is)(?:^|\s)(?:answer\s+)?(?:options?|choices?)\s*[:：].*$|\n\s*\(?A\)?\s*[.):]?\s.*$")
 _LABEL = re.compile(r"^\W*(?:question|q)\s*[.:：)\-]+\s*")
@@ -108,19 +107,8 @@ def question_rows(rows: DataFrame, id_col: str, video: str, problem: str, split:
 
 
 def _chunks(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of RUN neighbouring chunks: (text number, digest of the run, length of its first chunk)."""
-    raw = [t.encode() for t in texts]
-    owner, digest, length = chunk_texts(raw, MASK_BITS)
-    if len(owner) == 0:
-        return owner, digest, length
-    run = digest.copy()
-    for k in range(1, RUN):
-        nxt = np.zeros_like(digest)
-        same = np.zeros(len(owner), dtype=bool)
-        nxt[:-k] = digest[k:]
-        same[:-k] = owner[k:] == owner[:-k]
-        run = np.where(same, run * np.uint64(0x100000001B3) ^ nxt, run)
-    return owner, run, length
+    """(text number, digest, length) of the chunks of all texts."""
+    return chunk_texts([t.encode() for t in texts], MASK_BITS)
 
 
 def chunk_counters(texts: DataFrame) -> np.ndarray:
@@ -165,7 +153,7 @@ def rare_chunks(texts: DataFrame, counters: np.ndarray, overlap: float) -> DataF
     return texts.mapInPandas(pick, "k bigint, t bigint, bits bigint, words smallint")
 
 
-def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.35) -> DataFrame:
+def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.4) -> DataFrame:
     """(train_id, eval_id) of rows on the same clip that ask the same question in different splits.
 
     Rows with a null or stand-in clip, split or text, or a text without words, are in no pair. Equal
