@@ -1,12 +1,14 @@
 """Broken prompt and response pairs: empty, truncated, refused, copied or foreign answers.
 
 One pass labels what a response shows by itself. Refusals show in the crowd: response openings are
-clustered by MinHash over five-word shingles, verified at a similarity of 0.8, and a cluster that recurs
+clustered by MinHash over five-word shingles, verified at a similarity of 0.8; a prefix filter over the
+rarest shingles then finds the similar pairs that are still in different clusters. A cluster that recurs
 under unrelated prompts while its responses hardly ever reach an answer is a refusal template.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -30,6 +32,7 @@ OPENING_WORDS = 24
 OPENING_SENTENCES = 4
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 8, 3
+COUNTER_BITS = 16
 #: Last words of the opening of a short response: templates vary in how they begin.
 TAIL_WORDS, SHORT_WORDS = 8, 45
 #: Unrelated prompts under which a template recurs, and how many of its responses may reach an answer.
@@ -212,14 +215,43 @@ def shingles(text: str) -> set[str]:
     return {" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
 
 
-def refusal_openings(responses: DataFrame) -> DataFrame:
-    """Openings of refusal templates. Answer rates count all responses of an opening, prompts only distinct ones."""
-    r = responses.select("answered", "prompt", F.explode("keys").alias("opening"))
-    counts = r.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("answered").cast("int")).alias("answers"))
-    open_ended = cut(counts.filter("answers < n"))
-    bands = minhash_bands(open_ended.select("opening"))
-    # links within a band run over its smallest opening, so a crowded band gives a star and not all pairs
-    heads = bands.groupBy("band").agg(F.min("opening").alias("head"), F.max("opening").alias("other")).filter("head <> other").drop("other")
+def shingle_counters(openings: DataFrame) -> np.ndarray:
+    """Shingle counts of all openings in 2**COUNTER_BITS cells: a table of fixed size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        for b in batches:
+            cells = [zlib.crc32(x.encode()) >> (32 - COUNTER_BITS) for t in b["opening"] for x in shingles(t)]
+            total += np.bincount(np.array(cells, dtype=np.int64), minlength=1 << COUNTER_BITS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "n": total[at]})
+
+    out = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    for r in openings.mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    return out
+
+
+def rare_shingles(openings: DataFrame, counters: np.ndarray) -> DataFrame:
+    """(k, size, opening, root): of each opening its rarest shingles, until the rest are too few for SIMILARITY.
+
+    Two similar openings share one of them, whatever the order of the shingles; rare ones make few pairs.
+    """
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t, root in zip(b["opening"], b["root"], strict=True):
+                ranked = sorted((int(counters[h >> (32 - COUNTER_BITS)]), h, x) for h, x in ((zlib.crc32(x.encode()), x) for x in shingles(t)))
+                n = len(ranked)
+                out += [(h, n, t, root) for _, h, _ in ranked[: n - math.ceil(SIMILARITY * n) + 1]]
+            yield pd.DataFrame(out, columns=["k", "size", "opening", "root"])
+
+    return openings.select("opening", "root").mapInPandas(pick, "k bigint, size int, opening string, root string")
+
+
+def clusters(openings: DataFrame) -> DataFrame:
+    """(opening, cluster): openings joined by chains of similar pairs. ``opening`` must be distinct."""
 
     @F.pandas_udf("boolean")
     def alike(p: pd.Series, q: pd.Series) -> pd.Series:
@@ -229,9 +261,28 @@ def refusal_openings(responses: DataFrame) -> DataFrame:
             out.append(len(x & y) >= SIMILARITY * len(x | y))
         return pd.Series(out, dtype=bool)
 
+    bands = minhash_bands(openings.select("opening"))
+    # links within a band run over its smallest opening, so a crowded band gives a star and not all pairs
+    heads = bands.groupBy("band").agg(F.min("opening").alias("head"), F.max("opening").alias("other")).filter("head <> other").drop("other")
     links = bands.join(heads, "band").filter("opening <> head").select(F.col("head").alias("a"), F.col("opening").alias("b")).distinct()
     roots = components(links.filter(alike("a", "b")))
-    named = open_ended.join(roots.withColumnRenamed("node", "opening"), "opening", "left").withColumn("cluster", F.coalesce("root", "opening")).drop("root")
+    placed = cut(openings.select("opening").join(roots.withColumnRenamed("node", "opening"), "opening", "left").select("opening", F.coalesce("root", "opening").alias("root")))
+    # pairs that the stars leave in different clusters; a shingle met in one cluster only has none
+    rare = cut(rare_shingles(placed, shingle_counters(placed)))
+    mixed = rare.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("k")
+    open_ = rare.join(mixed, "k")
+    near = open_.alias("p").join(open_.alias("q"), "k").filter(f"p.root < q.root AND least(p.size, q.size) >= {SIMILARITY}D * greatest(p.size, q.size)")
+    near = near.select(F.col("p.opening").alias("a"), F.col("q.opening").alias("b"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb")).distinct()
+    merged = components(near.filter(alike("a", "b")).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return placed.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("opening", F.coalesce("top", "root").alias("cluster"))
+
+
+def refusal_openings(responses: DataFrame) -> DataFrame:
+    """Openings of refusal templates. Answer rates count all responses of an opening, prompts only distinct ones."""
+    r = responses.select("answered", "prompt", F.explode("keys").alias("opening"))
+    counts = r.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("answered").cast("int")).alias("answers"))
+    open_ended = cut(counts.filter("answers < n"))
+    named = open_ended.join(clusters(open_ended), "opening")
     prompts = r.join(named.select("opening", "cluster"), "opening").groupBy("cluster").agg(F.countDistinct("prompt").alias("prompts"))
     rates = named.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("answers").alias("answers"))
     found = rates.join(prompts, "cluster").filter((F.col("prompts") >= PROMPTS) & (F.col("answers") <= ANSWERED * F.col("n")))

@@ -1,4 +1,5 @@
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -175,3 +176,17 @@ def test_answer_defects(spark):
     assert got[700, "answer_raw"] == [None] and got[700, "cot_raw"] == ["empty"] and got[508, "answer_raw"] == [None, None]
     assert sum(d is not None for i in range(240) for d in got[i, "long_cot_raw"]) == 0
     assert answers.answer_defects(df.filter("raw_id < 0")).count() == 0
+
+
+def test_similar_openings_of_a_crowded_band_share_a_cluster(spark):
+    rng = random.Random(7)
+    common = " ".join(f"w{i}" for i in range(20))
+    groups = [[f"{rng.randint(100, 999)} p{g} q{g} {common} e{k}" for k in range(g % 4 + 1)] for g in range(80)]
+    for g in groups:
+        g[:] = [f"{g[0].split()[0]} {o.split(' ', 1)[1]}" for o in g]
+    alike = lambda a, b: len(a & b) >= answers.SIMILARITY * len(a | b)
+    sets = [[answers.shingles(o) for o in g] for g in groups]
+    assert all(alike(a, b) == (i == j) for i, g in enumerate(sets) for j, h in enumerate(sets) for a in g for b in h)
+    rows = [(False, 10 * i + k, [o]) for i, g in enumerate(groups) for k, o in enumerate(g)]
+    got = {r.opening for r in answers.refusal_openings(spark.createDataFrame(rows, "answered boolean, prompt bigint, keys array<string>")).collect()}
+    assert got == {o for g in groups if len(g) >= answers.PROMPTS for o in g}
