@@ -51,12 +51,17 @@ def digests(buf: np.ndarray, owner: np.ndarray, is_cut: np.ndarray) -> tuple[np.
     return owner[starts], mix64(digest + length.astype(np.uint64) * _P), length
 
 
+def word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, digest, length with the blank after it) of the blank-separated words."""
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8).astype(np.uint64)
+    return digests(buf, np.repeat(np.arange(len(texts)), sizes), buf == 32)
+
+
 def word_bits(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Per text, a 64-bit map of its blank-separated words and their number."""
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     if not len(texts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8).astype(np.uint64)
-    owner, digest, _ = digests(buf, np.repeat(np.arange(len(texts)), sizes), buf == 32)
+    owner, digest, _ = word_digests(texts)
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     return np.bitwise_or.reduceat(np.uint64(1) << (digest >> np.uint64(58)), first).view(np.int64), np.bincount(owner, minlength=len(texts))

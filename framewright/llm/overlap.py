@@ -1,10 +1,12 @@
 """Same or near-same records across splits, found by content-defined chunks.
 
 A record is the question asked about a clip. Its normalised text is cut by a rolling hash; records that
-share enough chunk length are candidates, and an exact check of the wording follows. The candidate join
-uses a prefix filter: of each record only its rarest chunks, so many that the rest are too short to reach
-the overlap asked for, take part in the join. Any fixed order of the chunks makes this exact; a table of
-2**16 counters over all records gives an order that keeps common phrases out of the join.
+share enough of the chunk length of the one with fewer words are candidates, and an exact check of the
+wording follows. The candidate join uses a prefix filter: the rarest chunks of a record, so many that the
+rest are too short to reach the overlap asked for, meet all chunks of the other record, as a lead-in may be
+rarer than the question after it. Any fixed order of the chunks makes this exact; a table of 2**16 counters
+over all records gives an order that keeps common phrases out of the join. A lead-in also changes the first
+and the last chunk of a question; where the chunks between them are too short, its longest words join as well.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.paths import clip_key
-from framewright.llm.chunking import chunk_texts, word_bits
+from framewright.llm.chunking import chunk_texts, mix64, word_bits, word_digests
 from framewright.session import cut
 
 COUNTER_BITS = 16
 MASK_BITS = 3
+MARK_BITS = 20
+_CLIP, _WORDS_APART, _LONGER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 _OPTIONS = re.compile(r"(?is)(?:^|\s)(?:answer\s+)?(?:options?|choices?)\s*[:：].*$|\n\s*\(?A\)?\s*[.):]?\s.*$")
 _LABEL = re.compile(r"^\W*(?:question|q)\s*[.:：)\-]+\s*")
@@ -111,27 +115,57 @@ def _chunks(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chunk_texts([t.encode() for t in texts], MASK_BITS)
 
 
-def chunk_counters(texts: DataFrame) -> np.ndarray:
-    """Chunk counts of all records in 2**COUNTER_BITS cells: a table of fixed size."""
+def thin_texts(owner: np.ndarray, length: np.ndarray, n: int, overlap: float) -> np.ndarray:
+    """Whether the chunks between the first and the last fall short of ``overlap`` of a text."""
+    whole = np.bincount(owner, weights=length, minlength=n)
+    edge = np.concatenate([[True], owner[1:] != owner[:-1]]) | np.concatenate([owner[1:] != owner[:-1], [True]]) if len(owner) else np.zeros(0, bool)
+    return np.bincount(owner[~edge], weights=length[~edge], minlength=n) < overlap * whole
+
+
+def word_keys(b: pd.DataFrame, thin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, joins) of all words; the longest words of a thin text join, one more than slips may change."""
+    owner, digest, length = word_digests([t.encode() for t in b["text"]])
+    order = np.lexsort((digest, -length, owner))
+    owner, digest = owner[order], digest[order]
+    n = np.bincount(owner, minlength=len(b))
+    rank = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    joins = thin[owner] & (n[owner] >= 3) & (rank <= np.maximum(2, n[owner] // 6))
+    return owner, mix64(digest ^ b["clip"].to_numpy().view(np.uint64)[owner] * _CLIP ^ _WORDS_APART), joins
+
+
+def _mark(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def chunk_counters(texts: DataFrame, overlap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk counts of all records in 2**COUNTER_BITS cells, and 2**MARK_BITS marks of words that join: tables of fixed size."""
+    cells = 1 << COUNTER_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        total = np.zeros(cells + (1 << MARK_BITS), dtype=np.int64)
         for b in batches:
-            _, digest, _ = _chunks(b["text"])
-            total += np.bincount((digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
+            owner, digest, length = _chunks(b["text"])
+            total[:cells] += np.bincount((digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=cells)
+            thin = thin_texts(owner, length, len(b), overlap)
+            if thin.any():
+                some = b[thin]
+                _, key, joins = word_keys(some, np.ones(len(some), bool))
+                total[cells + _mark(key[joins])] = 1
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    out = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-    for r in texts.mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(cells + (1 << MARK_BITS), dtype=np.int64)
+    for r in texts.select("clip", "text").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r.cell] = r.n
-    return out
+    return out[:cells], out[cells:] > 0
 
 
-def rare_chunks(texts: DataFrame, counters: np.ndarray, overlap: float) -> DataFrame:
-    """(k, t, bits, words): of each text its rarest chunks, until the rest fall short of ``overlap`` of its length.
+def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool) -> DataFrame:
+    """(k, t, own, bits, words): keys of each text. ``own`` are its rarest chunks, until the rest fall short of
+    ``overlap`` of its length, and the words by which a thin text joins; other keys only meet own ones.
 
-    ``k`` joins equal chunks on one clip; ``bits`` and ``words`` describe the text's words.
+    ``k`` joins equal chunks on one clip; ``bits`` and ``words`` describe the text's words. Other keys of the
+    left side carry a mark in ``k``, and own keys of the right side come with and without it, so that two other keys never meet.
     """
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,13 +178,20 @@ def rare_chunks(texts: DataFrame, counters: np.ndarray, overlap: float) -> DataF
             run = np.cumsum(ln) - ln
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
             before = run - np.repeat(run[first], np.diff(np.append(first, len(o))))
-            keep = whole[o] - before >= overlap * whole[o]
+            own = whole[o] - before >= overlap * whole[o]
+            k = digest[order] ^ b["clip"].to_numpy().view(np.uint64)[o] * _CLIP
+            if len(b) and marks.any():
+                at, key, joins = word_keys(b, thin_texts(owner, length, len(b), overlap))
+                hit = marks[_mark(key)]
+                o, k, own = np.concatenate([o, at[hit]]), np.concatenate([k, key[hit]]), np.concatenate([own, joins[hit]])
+            if left:
+                k = np.where(own, k, k ^ _LONGER)
+            else:
+                o, k, own = np.concatenate([o, o[own]]), np.concatenate([k, k[own] ^ _LONGER]), np.concatenate([own, own[own]])
             bits, words = word_bits([t.encode() for t in b["text"]])
-            at = o[keep]
-            k = digest[order][keep] ^ b["clip"].to_numpy().view(np.uint64)[at] * np.uint64(0x9E3779B97F4A7C15)
-            yield pd.DataFrame({"k": k.view(np.int64), "t": b["t"].to_numpy()[at], "bits": bits[at], "words": words[at].astype(np.int16)})
+            yield pd.DataFrame({"k": k.view(np.int64), "t": b["t"].to_numpy()[o], "own": own, "bits": bits[o], "words": words[o].astype(np.int16)})
 
-    return texts.mapInPandas(pick, "k bigint, t bigint, bits bigint, words smallint")
+    return texts.mapInPandas(pick, "k bigint, t bigint, own boolean, bits bigint, words smallint")
 
 
 def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.4) -> DataFrame:
@@ -161,11 +202,12 @@ def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "vid
     """
     asks = cut(question_rows(rows, id_col, video, problem, split, train).withColumn("t", F.xxhash64("clip", "text")))
     texts = asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"))
-    counters = chunk_counters(asks.select("text"))
-    a = rare_chunks(texts.filter("in_train").select("t", "clip", "text"), counters, overlap)
-    b = rare_chunks(texts.filter("in_eval").select("t", "clip", "text"), counters, overlap)
-    near = a.join(b.withColumnsRenamed({"t": "tb", "bits": "bits_b", "words": "words_b"}), "k").filter("t <> tb")
+    counters, marks = chunk_counters(asks, overlap)
+    a = chunk_keys(texts.filter("in_train").select("t", "clip", "text"), counters, marks, overlap, left=True)
+    b = chunk_keys(texts.filter("in_eval").select("t", "clip", "text"), counters, marks, overlap, left=False)
+    near = a.join(b.withColumnsRenamed({"t": "tb", "own": "own_b", "bits": "bits_b", "words": "words_b"}), "k").filter("t <> tb")
     fewer = F.col("words") <= F.col("words_b")
+    near = near.filter((F.col("own") & F.col("own_b")) | F.when(fewer, F.col("own")).otherwise(F.col("own_b")))
     lost = F.bit_count(F.when(fewer, F.col("bits")).otherwise(F.col("bits_b")).bitwiseAND(F.bitwise_not(F.when(fewer, F.col("bits_b")).otherwise(F.col("bits")))))
     near = near.filter(lost <= F.greatest(F.lit(2), F.floor(F.least("words", "words_b") / 6)) + 1)
     near = near.select(F.col("t").alias("ta"), "tb").distinct()

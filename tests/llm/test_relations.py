@@ -135,3 +135,15 @@ def test_pairs_against_brute_force(spark):
     got = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
     want = {(a, b) for a, va, ta, sa in rows if sa == "train" for b, vb, tb, sb in rows if sb == "val" and va == vb and overlap.same_question(overlap.asked(ta), overlap.asked(tb))}
     assert len(want) > 30 and len(got & want) >= 0.98 * len(want) and not got - want
+
+
+def test_pairs_of_short_questions_with_lead_ins(spark):
+    short = ["what does the cook lift", "who is it", "why does the potter turn the drum", "where is the red hat", "which pan falls"]
+    before = ["meanwhile behind curtains seven", "observing yesterday's peculiar broadcast attentively", "kindly", "throughout unedited surveillance material supplied"]
+    rows = [(i, "S/r/a.mp4", q, "train" if i % 2 else "val") for i, q in enumerate(short * 8)]
+    leads = [(lead, q) for lead in before for q in short]
+    rows += [(100 + i, "S/r/a.mp4", f"{lead} {q}", "val" if i % 2 else "train") for i, (lead, q) in enumerate(leads)]
+    rows += [(200 + i, "S/r/a.mp4", f"{lead} {q} considering everything visible onscreen afterwards", "train" if i % 2 else "val") for i, (lead, q) in enumerate(leads)]
+    got = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
+    want = {(a, b) for a, _, p, s in rows if s == "train" for b, _, q, u in rows if u == "val" and overlap.same_question(overlap.asked(p), overlap.asked(q))}
+    assert got == want and any(a >= 100 > b for a, b in want) and any(b >= 100 > a for a, b in want)
