@@ -24,6 +24,8 @@ from framewright.session import cut
 
 STATS = ["log_words", "word_length", "symbol_ratio", "line_end_share", "common_share", "digit_ratio", "upper_ratio", "distinct_share", "list_share", "table_share", "junk_share"]
 SPREAD_FLOOR = np.array([0.3, 0.3, 0.01, 0.15, 0.05, 0.02, 0.03, 0.05, 0.04, 0.04, 0.04])
+#: Words of the windows over which the share of distinct words is averaged.
+DISTINCT_WORDS = 200
 #: 0.999 quantile of chi-square with 11 degrees of freedom.
 CUTOFF = 31.26
 
@@ -178,6 +180,23 @@ def _repeated(words: list[str]) -> float:
     return share
 
 
+def distinct_share(words: list[str]) -> float:
+    """Share of distinct words, averaged over all windows of DISTINCT_WORDS consecutive words; of fewer words, their own."""
+    n = len(words)
+    if n <= DISTINCT_WORDS:
+        return len(set(words)) / n if n else 0.0
+    # a word counts in the windows that hold it and not the same word before it
+    seen: dict[str, int] = {}
+    first = np.fromiter(map(seen.setdefault, words, range(n)), dtype=np.int64, count=n)
+    order = np.argsort(first, kind="stable")
+    before = np.full(n, -1)
+    again = first[order[1:]] == first[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    at = np.arange(n)
+    windows = np.minimum(at, n - DISTINCT_WORDS) - np.maximum(before + 1, at - DISTINCT_WORDS + 1) + 1
+    return float(np.maximum(windows, 0).sum()) / (DISTINCT_WORDS * (n - DISTINCT_WORDS + 1))
+
+
 def _bare_list(block: list[str]) -> bool:
     """Whether three or more lines without bullets are entries and not broken prose."""
     if len(block) < 3:
@@ -296,7 +315,7 @@ def _describe(text: str, solid: int, letters: int, plain: int, digits: int, uppe
             known / n if n else 0.0,
             digits / max(1, solid),
             upper / max(1, letters),
-            len(set(low[:200])) / min(n, 200) if n else 0.0,
+            distinct_share(low),
             share["list"],
             share["table"],
             share["junk"],

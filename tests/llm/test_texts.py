@@ -190,3 +190,14 @@ def test_similar_openings_of_a_crowded_band_share_a_cluster(spark):
     rows = [(False, 10 * i + k, [o]) for i, g in enumerate(groups) for k, o in enumerate(g)]
     got = {r.opening for r in answers.refusal_openings(spark.createDataFrame(rows, "answered boolean, prompt bigint, keys array<string>")).collect()}
     assert got == {o for g in groups if len(g) >= answers.PROMPTS for o in g}
+
+
+def test_distinct_share_of_the_whole_text():
+    at = quality.STATS.index("distinct_share")
+    rng = random.Random(2)
+    varied = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    for words in ([], varied[:150] + varied[:20], varied, varied + ["pan", "box"] * 300, [rng.choice(varied) for _ in range(901)], [rng.choice(varied) for _ in range(201)]):
+        parts = [words[i : i + 200] for i in range(max(1, len(words) - 199))]
+        want = sum(len(set(p)) / max(1, len(p)) for p in parts) / len(parts)
+        assert quality.distinct_share(words) == pytest.approx(want)
+        assert not words or quality.describe(" ".join(words))[2][at] == pytest.approx(want)
