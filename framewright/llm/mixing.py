@@ -3,7 +3,7 @@
 Each mix draws its rows from a pool. Every source gets its target share of the mix, capped at
 ``max_repeats`` uses of each of its rows. Output shards draw their source counts from a multinomial,
 corrected so that the totals per source are exact; slots map through a keyed pseudorandom permutation
-of the source's blocks, and blocks are joined by index.
+of the source's rows, and rows are joined by index. ``pack_blocks`` is no part of a mix.
 """
 
 from __future__ import annotations
