@@ -1,357 +1,169 @@
 """Per-document text quality statistics, and a robust distance from the prose of the document's language.
 
-Statistics come from one pass over whole texts. Prose has a mean and covariance per language, fitted on
-all documents by reweighting: start from texts without list, table or junk parts, then keep those within
-a chi-square quantile. Each document gets its squared Mahalanobis distance and what each statistic adds
-to it; an outlier most of whose characters lie in list entries, table rows or junk is of that kind.
+What is common in a language, and how its letters follow each other, is learnt from a bounded sample of
+labelled rows. Prose has a mean and covariance per language, fitted on all documents by reweighting: start
+from texts without list, table or junk parts, then keep those within a chi-square quantile. Each document
+gets its squared Mahalanobis distance and what each statistic adds to it. The statistics that tell of a
+list, a table or junk form three groups; an outlier is of the kind whose group adds most, if that group
+alone takes it past the quantile. The spread of a share is at least such that half a text does so.
 """
 
 from __future__ import annotations
 
-import math
-import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.endings import bounded_sample
+from framewright.llm.textstats import _WORD, LETTERS, STATS, Wording, describe_all, distinct_shares, letter_pairs
 from framewright.session import cut
 
-STATS = ["log_words", "word_length", "symbol_ratio", "line_end_share", "common_share", "digit_ratio", "upper_ratio", "distinct_share", "list_share", "table_share", "junk_share"]
-SPREAD_FLOOR = np.array([0.3, 0.3, 0.01, 0.15, 0.05, 0.02, 0.03, 0.05, 0.04, 0.04, 0.04])
-#: Words of the windows over which the share of distinct words is averaged.
-DISTINCT_WORDS = 200
-#: 0.999 quantile of chi-square with 11 degrees of freedom.
-CUTOFF = 31.26
-
-# Common words of each language (fixed values).
-COMMON = {
-    "en": "a an and are as at be but by for from had has have he her his i in is it its not of on one only or she so that the then there they this to was we were what when which while who with you".split(),
-    "es": "a al aunque como con cuando de del desde dos el ella en era es esta este hay la las le lo los más mientras mira muy no o para pero por que se ser si sin sobre su sus también un una y ya".split(),
-    "de": "aber als am an auch auf aus bei bis das dem den der des die dies ein eine einem einen einer er es für gilt hat ich im in ist man mit nach nicht sich sie sind über um und unter von vor war wenn wie zu zum zur".split(),
-    "fr": "a au aux avec ce cette dans de des devant du elle en est et il ils je la le les leur mais même ne nous on ou par pas pendant plus pour puis qu que qui sa sans se ses son sous sur un une vers y".split(),
-}
-COMMON_SETS = {k: frozenset(v) for k, v in COMMON.items()}
-
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_BULLET = re.compile(r"\s*(?:[-*•–—·▪‣◦●○■□►>+✓✔]|\(?\d{1,4}[.):\]]|\[\d{1,4}\]|\[[ xX]\]|\(?[a-zA-Z][.)])\s+\S")
-_END = re.compile(r"[.!?…。！？;:]['\"”’»)\]]*$")
-_STOP = re.compile(r"[.!?…。！？]['\"”’»)\]]*$")
-_SENTENCE = re.compile(r"[^\W\d][.!?…]['\"”’»)\]]*(?:\s|$)")
-_INNER_STOP = re.compile(r"[^\W\d][.!?…。！？]['\"”’»)\]]*\s+[^\s]")
-_RULE = re.compile(r"[\s|+\-=_:*]{4,}")
-_PATH = re.compile(r"(?:[\w%~.+-]*[/\\])+[\w%~.+ -]*\.\w{2,5}$|https?://\S+$|www\.\S+$")
-_TAGGED = re.compile(r"^[#@]|[_\d]$|!!+$|^\W*$|[a-z]\d|\d[a-z]|_", re.I)
-_GAP = re.compile(r"\S(?:\s{2,}|\t)(?=\S)")
-_SPEECH = re.compile(r"\s*[^\W_][\w .'-]{0,18}:\s+\S")
-_NORMAL = frozenset(" .,;:!?'\"()-–—“”‘’«»¿¡…/%&\n\r\t\xa0　、。·•")
-
-
-def _is_entry(line: str) -> bool:
-    """Whether a line starts with a bullet, number or letter mark."""
-    s = line.lstrip()
-    if s[0].isalpha() and (s[1:2] not in (".", ")") or not s[2:3].isspace()):
-        return False
-    return _BULLET.match(s) is not None
-
-
-def _fields(line: str, sep: str) -> int:
-    if sep == "gap":
-        return len(_GAP.findall(line.strip()))
-    if sep == ",":
-        return line.count(",") if line.count(", ") * 2 <= line.count(",") else 0
-    return line.count(sep)
-
-
-def _table_lines(lines: list[str], text: str) -> list[bool]:
-    """Lines that belong to a run of three or more rows with the same number of fields."""
-    n = len(lines)
-    out = [False] * n
-    if n < 3:
-        return out
-    rule = [x.lstrip()[0] in "|+-=_:*" and bool(_RULE.fullmatch(x)) and len(set(x.strip())) <= 4 for x in lines]
-    for sep in ("|", "\t", ";", ",", "gap"):
-        if text.count(sep) < 3 if sep != "gap" else "  " not in text and "\t" not in text:
-            continue
-        count = [_fields(x, sep) for x in lines]
-        if sum(map(bool, count)) < 3:
-            continue
-        at = 0
-        while at < n:
-            if not count[at] and not rule[at]:
-                at += 1
-                continue
-            end = at
-            while end < n and (count[end] or rule[end]):
-                end += 1
-            own = [count[k] for k in range(at, end) if not rule[k]]
-            if len(own) >= 3:
-                mode, times = Counter(own).most_common(1)[0]
-                near = sum(1 for c in own if abs(c - mode) <= (1 if sep == "gap" and mode > 1 else 0))
-                if mode >= 1 and near >= 0.75 * len(own) and (times >= 0.6 * len(own) or sep == "gap"):
-                    cells = [len(_WORD.findall(lines[k])) / (count[k] + 1) for k in range(at, end) if not rule[k]]
-                    if sum(cells) / len(cells) <= 6:
-                        for k in range(at, end):
-                            out[k] = True
-            at = end
-    return out
+#: Rows the common words and letter pairs are learnt from; every document is described and judged.
+WORDING_ROWS = 8000
+#: A word is common if so large a share of the sampled texts of a language hold it; a language needs so many of them.
+COMMON_SHARE, LANGUAGE_SHARE = 0.25, 0.002
+#: Texts that hold a word whose spelling is learnt.
+SPELLING_TEXTS = 3
+#: Texts of prose a language needs for a mean of its own; others go by all prose.
+PROSE_TEXTS = 20
+
 
+def chi_square(k: int, p: float) -> float:
+    """Quantile of the chi-square distribution with ``k`` degrees of freedom (Wilson and Hilferty)."""
+    return k * (1 - 2 / (9 * k) + NormalDist().inv_cdf(p) * (2 / (9 * k)) ** 0.5) ** 3
 
-def _is_odd(c: str) -> bool:
-    """A symbol that prose hardly uses."""
-    return not c.isalnum() and c not in _NORMAL and unicodedata.category(c) not in ("Mn", "Mc", "Cf")
-
-
-def _odd(chars: Counter) -> int:
-    return sum(n for c, n in chars.items() if _is_odd(c))
-
-
-CLASSES = ("solid", "letters", "plain", "digits", "upper", "odd", "hangul")
-
-
-def _class_bits(c: str) -> int:
-    tests = (not c.isspace(), c.isalpha(), c.isalpha() and c < "\u0250", c.isdigit(), c.isupper(), _is_odd(c), "가" <= c <= "힣")
-    return sum(1 << k for k, t in enumerate(tests) if t)
-
-
-@lru_cache(maxsize=1)
-def _class_table() -> np.ndarray:
-    """Classes of the characters of the basic plane as bits."""
-    return np.array([_class_bits(chr(k)) if not 0xD800 <= k < 0xE000 else 1 for k in range(1 << 16)], dtype=np.uint8)
-
-
-def char_counts(texts: list[str]) -> np.ndarray:
-    """Characters of each class in each text, for all texts at once; texts must not be empty."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    bits = _class_table()[np.minimum(flat, 0xFFFF)]
-    high = np.flatnonzero(flat > 0xFFFF)
-    if len(high):
-        kinds, where = np.unique(flat[high], return_inverse=True)
-        bits[high] = np.array([_class_bits(chr(k)) for k in kinds], dtype=np.uint8)[where]
-    starts = np.cumsum([0, *map(len, texts[:-1])])
-    return np.stack([np.add.reduceat((bits >> k) & 1, starts, dtype=np.int64) for k in range(len(CLASSES))], axis=1)
-
-
-def _junk_line(line: str, noisy: bool, tags: bool, long_tokens: bool) -> bool:
-    """Characters without meaning: encoded data, symbol noise, tag soup, menus."""
-    if not (noisy or tags or long_tokens):
-        return False
-    tokens = line.split()
-    chars = sum(map(len, tokens))
-    odd = _odd(Counter(line)) if noisy else 0
-    if chars >= 12 and odd > 0.12 * chars and odd > 3 and len(tokens) > 2:
-        return True
-    if len(tokens) == 1 and _PATH.search(tokens[0]):
-        return False
-    coded = long_tokens and sum(len(t) for t in tokens if len(t) >= 24 and t.isascii() and not _PATH.search(t) and any(c.isdigit() or c in "+/=" for c in t))
-    if coded > 0.5 * chars:
-        return True
-    if tags and len(tokens) >= 8:
-        tagged = sum(1 for t in tokens if _TAGGED.search(t))
-        if tagged >= 0.3 * len(tokens) and not any(_STOP.search(t) and t[0].isalpha() and not t.endswith("!!!") for t in tokens):
-            return True
-    return False
-
-
-def _repeated(words: list[str]) -> float:
-    """Share of words inside a run of words that the text says three times or more, or of a handful of words said over and over."""
-    n = len(words)
-    # half of the words thrice in runs leaves at most two thirds distinct
-    if n < 12 or len(set(words)) > 0.7 * n:
-        return 0.0
-    k = 4
-    seen = Counter(zip(words, words[1:], words[2:], words[3:], strict=False))
-    share = 0.0
-    if max(seen.values()) >= 3:
-        hit = bytearray(n)
-        for i, g in enumerate(zip(words, words[1:], words[2:], words[3:], strict=False)):
-            if seen[g] >= 3:
-                hit[i : i + k] = b"\x01" * k
-        share = sum(hit) / n
-    if n >= 24 and share < 0.9:
-        top = Counter(words)
-        if len(top) <= max(6, n * 0.12) and n <= 400:
-            share = 1.0
-    return share
+
+CUTOFF = chi_square(len(STATS), 0.999)
+#: The share of a text, or value beyond that of prose, that by itself reaches the cutoff.
+REACH = {"list_share": 0.5, "table_share": 0.5, "odd_ratio": 0.12, "coded_share": 0.5, "tag_share": 0.5, "repeat_share": 0.5, "menu_share": 0.5, "pair_fit": 0.75}
+GROUPS = {"list": ["list_share"], "table": ["table_share"], "junk": ["odd_ratio", "coded_share", "tag_share", "repeat_share", "menu_share", "pair_fit"]}
+SPREAD = {"log_words": 0.3, "word_length": 0.3, "symbol_ratio": 0.01, "line_end_share": 0.15, "common_share": 0.05, "digit_ratio": 0.02, "upper_ratio": 0.03, "distinct_share": 0.05}
+SPREAD_FLOOR = np.array([SPREAD[s] if s in SPREAD else REACH[s] / CUTOFF**0.5 for s in STATS])
 
 
 def distinct_share(words: list[str]) -> float:
-    """Share of distinct words, averaged over all windows of DISTINCT_WORDS consecutive words; of fewer words, their own."""
-    n = len(words)
-    if n <= DISTINCT_WORDS:
-        return len(set(words)) / n if n else 0.0
-    # a word counts in the windows that hold it and not the same word before it
+    """Share of distinct words, averaged over all windows of consecutive words; of fewer words, their own."""
     seen: dict[str, int] = {}
-    first = np.fromiter(map(seen.setdefault, words, range(n)), dtype=np.int64, count=n)
-    order = np.argsort(first, kind="stable")
-    before = np.full(n, -1)
-    again = first[order[1:]] == first[order[:-1]]
-    before[order[1:][again]] = order[:-1][again]
-    at = np.arange(n)
-    windows = np.minimum(at, n - DISTINCT_WORDS) - np.maximum(before + 1, at - DISTINCT_WORDS + 1) + 1
-    return float(np.maximum(windows, 0).sum()) / (DISTINCT_WORDS * (n - DISTINCT_WORDS + 1))
-
-
-def _bare_list(block: list[str]) -> bool:
-    """Whether three or more lines without bullets are entries and not broken prose."""
-    if len(block) < 3:
-        return False
-    if any(_INNER_STOP.search(x) for x in block):
-        return False
-    stops = sum(1 for x in block if _STOP.search(x.rstrip()))
-    if stops >= 0.8 * len(block) or sum(1 for x in block if _SPEECH.match(x)) > 0.5 * len(block):
-        return False
-    sizes = [len(x.strip()) for x in block]
-    if max(sizes) > 110:
-        return False
-    if stops == 0:
-        # broken prose fills its lines; entries end where they end
-        text = " ".join(x.strip() for x in block)
-        return len(text) > 0 and not (len(block) <= 4 and _STOP.search(text))
-    carried = sum(1 for a, b in zip(block, block[1:], strict=False) if not _STOP.search(a.rstrip()) and b.lstrip()[:1].islower())
-    restarted = sum(1 for a, b in zip(block, block[1:], strict=False) if _STOP.search(a.rstrip()) and b.lstrip()[:1].islower())
-    cased = any(x.lstrip()[:1].isupper() for x in block[1:])
-    return restarted > 0 or (not cased and carried < len(block) - 1) or (carried == 0 and stops < 0.8 * len(block))
-
-
-def _entry_runs(block: list[int], lines: list[str]) -> list[list[int]]:
-    """The block, or else its runs of six or more short lines without a sentence end inside."""
-    if len(block) < 3:
-        return []
-    short = [len(lines[i].strip()) <= 110 and not _INNER_STOP.search(lines[i]) for i in block]
-    if all(short):
-        return [block]
-    runs: list[list[int]] = [[]]
-    for i, ok in zip(block, short, strict=True):
-        if ok:
-            runs[-1].append(i)
-        elif runs[-1]:
-            runs.append([])
-    return [r for r in runs if len(r) >= 6]
-
-
-def language_of(words: Counter, n_chars: int, hangul: int) -> str:
-    """en, es, de or fr by common words, ko by script, else other."""
-    if hangul > 0.2 * n_chars:
-        return "ko"
-    score = {k: sum([words[w] for w in s if w in words]) for k, s in COMMON_SETS.items()}
-    best = max(score, key=lambda k: (score[k], k))
-    return best if score[best] > 0 else "other"
-
-
-def describe_all(texts: list[str | None]) -> list[tuple[str, int, list[float]] | None]:
-    """(language, words, statistics) of each text; None for null, empty and blank texts."""
-    clean = [t.replace("\r\n", "\n").replace("\r", "\n") if t is not None and t.strip() else None for t in texts]
-    real = [t for t in clean if t is not None]
-    if not real:
-        return [None] * len(texts)
-    counts = iter(char_counts(real).tolist())
-    return [None if t is None else _describe(t, *next(counts)) for t in clean]
-
-
-def describe(text: str | None) -> tuple[str, int, list[float]] | None:
-    return describe_all([text])[0]
-
-
-def _describe(text: str, solid: int, letters: int, plain: int, digits: int, upper: int, odd: int, hangul: int) -> tuple[str, int, list[float]]:
-    low = _WORD.findall(text.lower())
-    counts = Counter(low)
-    noisy = odd > 3
-    tags = (text.count("#") + text.count("@") + text.count("_") + text.count("!")) * 5 >= len(low)
-    lines = [x for x in text.split("\n") if x.strip()]
-    sizes = [len(x.strip()) for x in lines]
-    total = sum(sizes)
-    table = _table_lines(lines, text)
-    long_tokens = max(map(len, text.split())) >= 24
-    kinds = [""] * len(lines)
-    blocks: list[list[int]] = []
-    for i, x in enumerate(lines):
-        if table[i]:
-            kinds[i] = "table"
-        elif _junk_line(x, noisy, tags, long_tokens):
-            kinds[i] = "junk"
-        elif len(x) < 400 and _is_entry(x):
-            kinds[i] = "list"
-        elif blocks and blocks[-1][-1] == i - 1:
-            blocks[-1].append(i)
-        else:
-            blocks.append([i])
-    bullets = kinds.count("list")
-    for b in blocks:
-        # a heading above entries or rows takes their kind
-        if len(b) == 1 and b[0] + 1 < len(lines) and kinds[b[0] + 1] in ("list", "table") and sizes[b[0]] <= 60:
-            kinds[b[0]] = kinds[b[0] + 1]
-        for part in _entry_runs(b, lines):
-            if _bare_list([lines[i] for i in part]):
-                for i in part:
-                    kinds[i] = "list"
-    if bullets == 1 and len(lines) > 1:
-        kinds = ["" if k == "list" and _is_entry(lines[i]) else k for i, k in enumerate(kinds)]
-    share = {k: sum(s for s, j in zip(sizes, kinds, strict=True) if j == k) / total for k in ("list", "table", "junk")}
-    rep = _repeated(low)
-    if rep > 0.5 and share["table"] < 0.5 and share["list"] < 0.5 or rep > 0.85 and share["table"] < 0.5:
-        share["junk"] = max(share["junk"], rep)
-        share["list"] = min(share["list"], 1 - rep)
-    lang = language_of(counts, len(text), hangul)
-    n = len(low)
-    common = COMMON_SETS.get(lang, frozenset())
-    known = sum(counts[w] for w in common if w in counts)
-    if n >= 8 and plain > 0.9 * letters and known < 0.1 * n and share["list"] + share["table"] < 0.5 and len(_SENTENCE.findall(text)) * 30 < n:
-        # words of no language, or labels without a sentence
-        share["junk"] = 1.0 - share["list"] - share["table"]
-    return (
-        lang,
-        n,
-        [
-            math.log1p(n),
-            sum(map(len, low)) / n if n else 0.0,
-            (solid - letters - digits) / max(1, solid),
-            sum(1 for x in lines if _END.search(x.rstrip())) / len(lines),
-            known / n if n else 0.0,
-            digits / max(1, solid),
-            upper / max(1, letters),
-            distinct_share(low),
-            share["list"],
-            share["table"],
-            share["junk"],
-        ],
-    )
-
-
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, language, n_words, stats) of every document that is not null, empty or blank."""
+    first = np.fromiter(map(seen.setdefault, words, range(len(words))), dtype=np.int64, count=len(words))
+    return float(distinct_shares(first, np.zeros(len(words), np.int64), np.array([len(words)]))[0])
+
+
+def describe(text: str | None, wording: Wording | None = None) -> tuple[str, int, list[float]] | None:
+    """(language, words, statistics) of one text; None for null, empty and blank texts."""
+    at, languages, words, stats = describe_all([text], wording or Wording({}, np.zeros((0, 3))))
+    return (languages[0], int(words[0]), stats[0].tolist()) if len(at) else None
+
+
+def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters; a longer text is a range of its own."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= most):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
+def learn_wording(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> Wording:
+    """Common words of each language and letter pairs of all, from at most WORDING_ROWS texts; texts never reach the driver.
+
+    The label is the first two letters of ``lang_col`` in lower case; rows without one are left out while
+    any row has one. Wrong labels do no harm while they are few. A language brings the words that at least
+    COMMON_SHARE of its texts hold, so their number is bounded by the length of a text.
+    """
+    label = F.lower(F.substring(F.trim(F.col(lang_col)), 1, 2)) if lang_col else F.lit("any")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), label.alias("label")).filter(F.col("text").isNotNull())
+    if lang_col:
+        labelled = rows.filter("label IS NOT NULL AND label <> ''")
+        rows = labelled if not labelled.isEmpty() else rows.withColumn("label", F.lit("any"))
+    sample = bounded_sample(rows, [id_col], WORDING_ROWS)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held: dict[str, Counter] = {}
+            for lang, t in zip(b["label"], b["text"], strict=True):
+                c = held.setdefault(lang, Counter())
+                c.update(set(_WORD.findall(t.lower())))
+                c[""] += 1
+            yield pd.DataFrame([(lang, w, n) for lang, c in held.items() for w, n in c.items()], columns=["label", "word", "n"])
+
+    met = cut(sample.mapInPandas(count, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n")))
+    texts = {r.label: r.n for r in met.filter("word = ''").select("label", "n").collect()}
+    known = {k: n for k, n in texts.items() if n >= max(PROSE_TEXTS, LANGUAGE_SHARE * sum(texts.values()))} or texts
+    common: dict[str, list[str]] = {k: [] for k in known}
+    if known:
+        least = F.create_map(*[x for k, n in known.items() for x in (F.lit(k), F.lit(max(2.0, COMMON_SHARE * n)))])
+        for r in met.filter((F.col("word") != "") & (F.col("n") >= F.try_element_at(least, F.col("label")))).select("label", "word").collect():
+            common[r.label].append(r.word)
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            _, x, y = letter_pairs(b["word"].tolist())
+            pair, times = np.unique((x.astype(np.int64) << 32) | y, return_counts=True)
+            yield pd.DataFrame({"x": pair >> 32, "y": pair & 0xFFFFFFFF, "n": times})
+
+    # words of one text only, such as random letters, teach no spelling; of a word all texts count as one
+    words = met.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= SPELLING_TEXTS).select("word")
+    pairs = cut(words.mapInPandas(spell, "x bigint, y bigint, n bigint").groupBy("x", "y").agg(F.sum("n").alias("n")))
+    letters = pairs.groupBy("x").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "x").limit(LETTERS).select("x")
+    kept = pairs.join(F.broadcast(letters), "x").join(F.broadcast(letters.withColumnRenamed("x", "y")), "y")
+    return Wording(common, kept.select("x", "y", "n").toPandas().to_numpy(dtype=np.int64).reshape(-1, 3))
+
+
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """(id, language, n_words, stats) of every document that is not null, empty or blank.
+
+    The language is the one whose common words fill most of the text, whatever its label; "other" if none do.
+    """
+    lang_col = lang_col if lang_col in docs.columns else None
+    wording = docs.sparkSession.sparkContext.broadcast(learn_wording(docs, id_col, text_col, lang_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, texts, got, at = b[id_col].tolist(), b[text_col].tolist(), [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 2_000_000):
-                    size += len(texts[end] or "")
-                    end += 1
-                got += [(i, *d) for i, d in zip(ids[at:end], describe_all(texts[at:end]), strict=True) if d is not None]
-                at = end
-            yield pd.DataFrame(got, columns=[id_col, "language", "n_words", "stats"]).astype({id_col: "int64", "n_words": "int64"})
+            ids, texts = b[id_col].to_numpy(), b[text_col].tolist()
+            for a, z in slices(texts):
+                at, languages, words, stats = describe_all(texts[a:z], wording.value)
+                yield pd.DataFrame({id_col: ids[a:z][at], "language": pd.Series(languages, dtype=object), "n_words": words, "stats": pd.Series(list(stats), dtype=object)})
 
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).mapInPandas(run, f"{id_col} bigint, language string, n_words bigint, stats array<double>")
 
 
 def _moments(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean and covariance per language, from sums over all rows; at most six languages come back."""
+    """Mean and covariance of each language and of the most frequent one ("*"), from sums over all rows; one row a language comes back."""
     k = len(STATS)
-    cols = [F.get("stats", F.lit(i)).alias(f"x{i}") for i in range(k)]
-    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, list] = {}
+        for b in batches:
+            x = np.array(b["stats"].tolist(), dtype=float).reshape(-1, k)
+            for lang in set(b["language"]):
+                y = x[(b["language"] == lang).to_numpy()]
+                s = sums.setdefault(lang, [0, np.zeros(k), np.zeros((k, k))])
+                s[0], s[1], s[2] = s[0] + len(y), s[1] + y.sum(axis=0), s[2] + y.T @ y
+        for lang, (n, v, w) in sums.items():
+            yield pd.DataFrame({"language": [lang], "n": [n], "v": [np.concatenate([v, w.ravel()])]})
+
+    parts = stats.select("language", "stats").mapInPandas(add, "language string, n bigint, v array<double>").select("language", "n", F.posexplode("v").alias("at", "v"))
+    found: dict[str, list] = {}
+    for r in parts.groupBy("language", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        s = found.setdefault(r.language, [r.n, np.zeros(k + k * k)])
+        s[1][r.at] = r.v
+    if found:
+        # texts of no language are judged by the prose of the language with most of it
+        found["*"] = max((s for k, s in found.items() if k != "other"), key=lambda s: s[0], default=found.get("other"))
     out = {}
-    for r in stats.select("language", *cols).groupBy("language").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"m{i}") for i in range(k)], *sums).collect():
-        mean = np.array([r[f"m{i}"] for i in range(k)]) / r.n
-        second = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / r.n
-        cov = second - np.outer(mean, mean)
-        out[r.language] = (mean, cov * (r.n / (r.n + 5.0)) + np.diag(SPREAD_FLOOR**2))
+    for lang, (n, v) in found.items():
+        if lang == "*" or (n >= PROSE_TEXTS and lang != "other"):
+            mean = v[:k] / n
+            cov = v[k:].reshape(k, k) / n - np.outer(mean, mean)
+            out[lang] = (mean, cov * (n / (n + 5.0)) + np.diag(SPREAD_FLOOR**2))
     return out
 
 
@@ -366,6 +178,16 @@ def _distances(x: np.ndarray, languages: np.ndarray, model: dict) -> tuple[np.nd
     return parts.sum(axis=1), parts
 
 
+def kinds_of(parts: np.ndarray) -> list[str | None]:
+    """The kind whose statistics add most to the distance, if what they add reaches the cutoff."""
+    if not len(parts):
+        return []
+    names = list(GROUPS)
+    by_group = np.stack([np.maximum(parts[:, [STATS.index(s) for s in GROUPS[g]]], 0.0).sum(axis=1) for g in names], axis=1)
+    best = by_group.argmax(axis=1)
+    return [names[j] if v > CUTOFF else None for j, v in zip(best.tolist(), by_group.max(axis=1).tolist(), strict=True)]
+
+
 def _near(model: dict):
     """Whether a row lies within the cutoff of its language's prose."""
 
@@ -378,42 +200,39 @@ def _near(model: dict):
 
 
 def fit_prose(stats: DataFrame, rounds: int = 2) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean and inverse covariance of prose per language ("*" for languages without any prose)."""
+    """Mean and inverse covariance of prose per language ("*" for languages with little or no prose)."""
     k = len(STATS)
-    clean = F.get("stats", F.lit(k - 3)) + F.get("stats", F.lit(k - 2)) + F.get("stats", F.lit(k - 1)) < 0.05
-    kept, model = stats.filter(clean & (F.col("n_words") >= 20)), {}
+    odd = sum((F.get("stats", F.lit(STATS.index(s))) / REACH[s] for s in REACH if s != "pair_fit"), F.lit(0.0))
+    kept, model = stats.filter((odd < 0.3) & (F.col("n_words") >= 20)), {}
     for _ in range(rounds):
-        found = _moments(kept)
-        model = {lang: (m, np.linalg.inv(c)) for lang, (m, c) in found.items()}
-        model["*"] = model.get("en") or next(iter(model.values()), (np.zeros(k), np.diag(1 / SPREAD_FLOOR**2)))
+        model = {lang: (m, np.linalg.inv(c)) for lang, (m, c) in _moments(kept).items()}
+        model.setdefault("*", (np.zeros(k), np.diag(1 / SPREAD_FLOOR**2)))
         kept = stats.filter(_near(dict(model))("stats", "language"))
     return model
 
 
-def document_kinds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_kinds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(id, language, n_words, each statistic, distance2, part_* of each statistic, doc_kind).
 
-    ``doc_kind`` is list, table, junk, or NULL for prose. Null, empty and blank texts give no row; a text
-    without words has statistics all the same. An empty table gives no rows.
+    ``doc_kind`` is list, table, junk, or NULL for prose, also for prose far from that of its language.
+    Null, empty and blank texts give no row; a text without words has statistics all the same. An empty
+    table gives no rows. Without ``lang_col`` all texts are one language.
     """
     k = len(STATS)
-    stats = cut(document_statistics(docs, id_col, text_col))
+    stats = cut(document_statistics(docs, id_col, text_col, lang_col))
     model = fit_prose(stats)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b["stats"].tolist(), dtype=float).reshape(-1, k)
             d, parts = _distances(x, b["language"].to_numpy(), model)
-            share = x[:, -3:]
-            best = share.argmax(axis=1)
-            is_kind = (d > CUTOFF) & (share.max(axis=1, initial=0) > 0.5)
             out = b[[id_col, "language", "n_words"]].copy()
             for i, name in enumerate(STATS):
                 out[name] = x[:, i]
             out["distance2"] = d
             for i, name in enumerate(STATS):
                 out[f"part_{name}"] = parts[:, i]
-            out["doc_kind"] = [("list", "table", "junk")[j] if y else None for j, y in zip(best, is_kind, strict=True)]
+            out["doc_kind"] = pd.Series(kinds_of(parts), dtype=object, index=out.index)
             yield out
 
     names = ", ".join(f"{s} double" for s in STATS)
