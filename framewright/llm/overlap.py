@@ -1,12 +1,17 @@
 """Same or near-same records across splits, found by content-defined chunks.
 
-A record is the question asked about a clip. Its normalised text is cut by a rolling hash; records that
-share enough of the chunk length of the one with fewer words are candidates, and an exact check of the
-wording follows. The candidate join uses a prefix filter: the rarest chunks of a record, so many that the
-rest are too short to reach the overlap asked for, meet all chunks of the other record, as a lead-in may be
-rarer than the question after it. Any fixed order of the chunks makes this exact; a table of 2**16 counters
-over all records gives an order that keeps common phrases out of the join. A lead-in also changes the first
-and the last chunk of a question; where the chunks between them are too short, its longest words join as well.
+A record is the question asked about a clip. Its normalised text is cut by a rolling hash; chunk digests are
+joined across splits, and the lengths of the chunks that two records share add up to the overlap: the share of
+the one with fewer bytes that lies in the other. Pairs of at least the overlap asked for go on to an exact check
+of the wording, as another question with the same options may overlap as much as a copy.
+
+The join uses a prefix filter: the rarest chunks of a record, so many that the rest are too short to reach
+the overlap, meet all chunks of the other record, as a lead-in may be rarer than the question after it.
+Any fixed order of the chunks makes this exact; a table of 2**16 counters over all records gives an order
+that keeps common phrases out of the join, and tells hot chunks, whose rows are spread over SALTS keys.
+A lead-in also changes the first and the last chunk of a question; where the chunks between them are too
+short, its words count as chunks as well. A bit map of the keys of the evaluation side drops training keys that
+meet nothing before they are shuffled; it is of bounded size, and a full map only drops fewer.
 """
 
 from __future__ import annotations
@@ -29,7 +34,11 @@ from framewright.session import cut
 COUNTER_BITS = 16
 MASK_BITS = 3
 MARK_BITS = 20
-_CLIP, _WORDS_APART, _LONGER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Keys a hot chunk is spread over, and the share of all chunks that makes one hot.
+SALTS, HOT_SHARE = 16, 1 / 2048
+#: Bits of the map of evaluation keys: so many per text, at most.
+KEY_BITS_PER_TEXT, MAX_KEY_BITS = 128, 26
+_CLIP, _WORDS_APART, _LONGER, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)
 
 _OPTIONS = re.compile(r"(?is)(?:^|\s)(?:answer\s+)?(?:options?|choices?)\s*[:：].*$|\n\s*\(?A\)?\s*[.):]?\s.*$")
 _LABEL = re.compile(r"^\W*(?:question|q)\s*[.:：)\-]+\s*")
@@ -138,7 +147,7 @@ def _mark(key: np.ndarray) -> np.ndarray:
 
 
 def chunk_counters(texts: DataFrame, overlap: float) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk counts of all records in 2**COUNTER_BITS cells, and 2**MARK_BITS marks of words that join: tables of fixed size."""
+    """Chunk counts of all records in 2**COUNTER_BITS cells, and of the words that join in 2**MARK_BITS cells: tables of fixed size."""
     cells = 1 << COUNTER_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,61 +159,137 @@ def chunk_counters(texts: DataFrame, overlap: float) -> tuple[np.ndarray, np.nda
             if thin.any():
                 some = b[thin]
                 _, key, joins = word_keys(some, np.ones(len(some), bool))
-                total[cells + _mark(key[joins])] = 1
+                total[cells:] += np.bincount(_mark(key[joins]), minlength=1 << MARK_BITS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
     out = np.zeros(cells + (1 << MARK_BITS), dtype=np.int64)
     for r in texts.select("clip", "text").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r.cell] = r.n
-    return out[:cells], out[cells:] > 0
+    return out[:cells], out[cells:]
+
+
+def _keys(b: pd.DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, own) of all keys under which the texts of a batch join."""
+    owner, digest, length = _chunks(b["text"])
+    cell = (digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    order = np.lexsort((digest, counters[cell], owner))
+    o, ln = owner[order], length[order]
+    whole = np.bincount(owner, weights=length, minlength=len(b))
+    run = np.cumsum(ln) - ln
+    first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
+    before = run - np.repeat(run[first], np.diff(np.append(first, len(o))))
+    own = whole[o] - before >= overlap * whole[o]
+    k = digest[order] ^ b["clip"].to_numpy().view(np.uint64)[o] * _CLIP
+    hot = counters[cell[order]] > max(64.0, HOT_SHARE * counters.sum())
+    if len(b) and marks.any():
+        at, key, joins = word_keys(b, thin_texts(owner, length, len(b), overlap))
+        met = marks[_mark(key)]
+        hit = met > 0
+        o, k, own, hot = np.concatenate([o, at[hit]]), np.concatenate([k, key[hit]]), np.concatenate([own, joins[hit]]), np.concatenate([hot, met[hit] > 64])
+    if left:
+        spread = hot & own
+        k = np.where(own, k, k ^ _LONGER)
+    else:
+        spread = np.concatenate([np.zeros(len(o), bool), (hot & own)[own]])
+        o, k, hot, own = np.concatenate([o, o[own]]), np.concatenate([k, k[own] ^ _LONGER]), np.concatenate([hot, hot[own]]), np.concatenate([own, own[own]])
+    # rows of a hot chunk go to one of SALTS keys, and the few own ones that they meet to all of them
+    salt = np.where(hot & ~spread, mix64(b["t"].to_numpy().view(np.uint64)[o]) % np.uint64(SALTS), np.uint64(0))
+    times = np.where(spread, SALTS, 1)
+    o, k, own, salt = np.repeat(o, times), np.repeat(k, times), np.repeat(own, times), np.repeat(salt, times)
+    copy = np.arange(len(o)) - np.repeat(np.cumsum(times) - times, times)
+    salt = np.where(np.repeat(spread, times), copy.astype(np.uint64), salt)
+    return o, k ^ salt * _SALT, own
+
+
+def key_map(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, bits: int) -> np.ndarray:
+    """Bit map of the keys of the evaluation side, as 2**bits / 64 words of 64 bits."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        for b in batches:
+            _, k, _ = _keys(b, counters, marks, overlap, left=False)
+            k = k >> np.uint64(64 - bits)
+            np.bitwise_or.at(seen, (k >> np.uint64(6)).astype(np.int64), np.uint64(1) << (k & np.uint64(63)))
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"cell": at, "v": seen[at].view(np.int64)})
+
+    got = texts.mapInPandas(fill, "cell bigint, v bigint").groupBy("cell").agg(F.bit_or("v").alias("v")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[got["cell"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
 
 
-def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool) -> DataFrame:
+def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool, known=None) -> DataFrame:
     """(k, t, own, bits, words): keys of each text. ``own`` are its rarest chunks, until the rest fall short of
     ``overlap`` of its length, and the words by which a thin text joins; other keys only meet own ones.
 
     ``k`` joins equal chunks on one clip; ``bits`` and ``words`` describe the text's words. Other keys of the
     left side carry a mark in ``k``, and own keys of the right side come with and without it, so that two other keys never meet.
+    ``known`` is a broadcast map of the keys on the other side.
     """
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            owner, digest, length = _chunks(b["text"])
-            common = counters[(digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-            order = np.lexsort((digest, common, owner))
-            o, ln = owner[order], length[order]
-            whole = np.bincount(owner, weights=length, minlength=len(b))
-            run = np.cumsum(ln) - ln
-            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-            before = run - np.repeat(run[first], np.diff(np.append(first, len(o))))
-            own = whole[o] - before >= overlap * whole[o]
-            k = digest[order] ^ b["clip"].to_numpy().view(np.uint64)[o] * _CLIP
-            if len(b) and marks.any():
-                at, key, joins = word_keys(b, thin_texts(owner, length, len(b), overlap))
-                hit = marks[_mark(key)]
-                o, k, own = np.concatenate([o, at[hit]]), np.concatenate([k, key[hit]]), np.concatenate([own, joins[hit]])
-            if left:
-                k = np.where(own, k, k ^ _LONGER)
-            else:
-                o, k, own = np.concatenate([o, o[own]]), np.concatenate([k, k[own] ^ _LONGER]), np.concatenate([own, own[own]])
+            o, k, own = _keys(b, counters, marks, overlap, left)
+            if known is not None:
+                place = k >> np.uint64(64 - int(known.value[0]))
+                met = (known.value[1][(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+                o, k, own = o[met], k[met], own[met]
             bits, words = word_bits([t.encode() for t in b["text"]])
             yield pd.DataFrame({"k": k.view(np.int64), "t": b["t"].to_numpy()[o], "own": own, "bits": bits[o], "words": words[o].astype(np.int16)})
 
     return texts.mapInPandas(pick, "k bigint, t bigint, own boolean, bits bigint, words smallint")
 
 
-def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.4) -> DataFrame:
-    """(train_id, eval_id) of rows on the same clip that ask the same question in different splits.
+def shared_shares(a: list[str], b: list[str], overlap: float) -> np.ndarray:
+    """Overlap of each pair of texts: the length of the chunks both hold, as a share of the text with fewer bytes.
 
-    Rows with a null or stand-in clip, split or text, or a text without words, are in no pair. Equal
-    wordings are joined as one text and expanded at the end, so repeated rows give all their pairs.
+    Where the chunks between the first and the last of either text fall short of ``overlap``, words are chunks.
+    """
+    n = len(a)
+    if not n:
+        return np.zeros(0)
+    data = [t.encode() for t in [*a, *b]]
+    owner, digest, length = chunk_texts(data, MASK_BITS)
+    thin = thin_texts(owner, length, 2 * n, overlap)
+    thin = thin[:n] | thin[n:]
+    out = _contained(owner, digest, length, n)
+    some = np.flatnonzero(thin)
+    if len(some):
+        by_word = word_digests([data[k] for k in [*some.tolist(), *(some + n).tolist()]])
+        out[some] = np.maximum(out[some], _contained(*by_word, len(some)))
+    return out
+
+
+def _contained(owner: np.ndarray, digest: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """Shared length over the smaller total of texts k and n + k; a chunk counts as often as both hold it."""
+    total = np.bincount(owner, weights=length, minlength=2 * n)
+    pair, side = owner % n, owner >= n
+    order = np.lexsort((side, digest, pair))
+    p, d, s, ln = pair[order], digest[order], side[order], length[order]
+    edge = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]))
+    left = np.add.reduceat(~s, edge, dtype=np.int64)
+    right = np.add.reduceat(s, edge, dtype=np.int64)
+    shared = np.bincount(p[edge], weights=ln[edge] * np.minimum(left, right), minlength=n)
+    return shared / np.maximum(1.0, np.minimum(total[:n], total[n:]))
+
+
+def question_links(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """Links (ta, tb, overlap) between classes of equal wording, and membership (id, in_train, t) of the rows.
+
+    A class is a question in its plain spelling on one clip. A class with rows in both splits is linked to
+    itself with an overlap of 1. Links are between a class with training rows and one with evaluation rows.
     """
     asks = cut(question_rows(rows, id_col, video, problem, split, train).withColumn("t", F.xxhash64("clip", "text")))
     texts = asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"))
     counters, marks = chunk_counters(asks, overlap)
-    a = chunk_keys(texts.filter("in_train").select("t", "clip", "text"), counters, marks, overlap, left=True)
-    b = chunk_keys(texts.filter("in_eval").select("t", "clip", "text"), counters, marks, overlap, left=False)
+    left, right = texts.filter("in_train").select("t", "clip", "text"), texts.filter("in_eval").select("t", "clip", "text")
+    n = asks.filter("NOT in_train").count()
+    bits = min(MAX_KEY_BITS, max(16, int(n * KEY_BITS_PER_TEXT).bit_length()))
+    known = rows.sparkSession.sparkContext.broadcast((bits, key_map(right, counters, marks, overlap, bits)))
+    a = chunk_keys(left, counters, marks, overlap, True, known)
+    b = chunk_keys(right, counters, marks, overlap, False)
     near = a.join(b.withColumnsRenamed({"t": "tb", "own": "own_b", "bits": "bits_b", "words": "words_b"}), "k").filter("t <> tb")
     fewer = F.col("words") <= F.col("words_b")
     near = near.filter((F.col("own") & F.col("own_b")) | F.when(fewer, F.col("own")).otherwise(F.col("own_b")))
@@ -214,12 +299,29 @@ def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "vid
     wording = texts.select(F.col("t").alias("ta"), F.col("clip").alias("ca"), F.col("text").alias("a"))
     near = near.join(wording, "ta").join(wording.toDF("tb", "cb", "b"), "tb").filter("ca = cb")
 
-    @F.pandas_udf("boolean")
-    def same(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([same_question(i, j) for i, j in zip(p, q, strict=True)], dtype=bool)
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            share = shared_shares(x["a"].tolist(), x["b"].tolist(), overlap)
+            x = x.assign(overlap=share)[share >= overlap]
+            yield x.loc[[same_question(i, j) for i, j in zip(x["a"], x["b"], strict=True)], ["ta", "tb", "overlap"]]
+
+    near = near.select("ta", "tb", "a", "b").mapInPandas(verify, "ta bigint, tb bigint, overlap double")
+    equal = texts.filter("in_train AND in_eval").select(F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("overlap"))
+    return near.unionByName(equal), asks.select("id", "in_train", "t")
+
+
+def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.4) -> DataFrame:
+    """(train_id, eval_id, overlap) of rows on the same clip that ask the same question in different splits.
+
+    Rows with a null or stand-in clip, split or text, or a text without words, are in no pair. Links between
+    classes of equal wording are expanded at the end, so repeated rows give all their pairs.
+    """
+    links, members = question_links(rows, id_col, video, problem, split, train, overlap)
+    left = members.filter("in_train").select(F.col("t").alias("ta"), F.col("id").alias("train_id"))
+    right = members.filter("NOT in_train").select(F.col("t").alias("tb"), F.col("id").alias("eval_id"))
+    return links.join(left, "ta").join(right, "tb").select("train_id", "eval_id", "overlap")
+
 
-    near = near.filter(same("a", "b")).select("ta", "tb")
-    equal = texts.filter("in_train AND in_eval").select(F.col("t").alias("ta"), F.col("t").alias("tb"))
-    left = asks.filter("in_train").select(F.col("t").alias("ta"), F.col("id").alias("train_id"))
-    right = asks.filter("NOT in_train").select(F.col("t").alias("tb"), F.col("id").alias("eval_id"))
-    return near.unionByName(equal).join(left, "ta").join(right, "tb").select("train_id", "eval_id")
+def record_overlaps(pairs: DataFrame) -> DataFrame:
+    """(eval_id, overlap, partners): the largest overlap of every evaluation row that has a pair, and its pairs."""
+    return pairs.groupBy("eval_id").agg(F.max("overlap").alias("overlap"), F.count(F.lit(1)).alias("partners"))

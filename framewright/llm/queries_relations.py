@@ -43,4 +43,5 @@ def p6_found(spark, d):
 @R.query("p6_report")
 def p6_report(spark, d):
     where = table(spark, d, "grpo_rows").select(F.col("row_id").alias("eval_id"), "split_name", "dataset_name")
-    return _pairs(spark, d).join(where, "eval_id").groupBy("split_name", "dataset_name").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_rows"))
+    per_row = overlap.record_overlaps(_pairs(spark, d)).join(where, "eval_id")
+    return per_row.groupBy("split_name", "dataset_name").agg(F.sum("partners").alias("n_pairs"), F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.round(F.min("overlap"), 6).alias("least_overlap"))

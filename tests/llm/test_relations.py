@@ -116,7 +116,7 @@ def test_pairs(spark):
         (7, "S/r/a.mp4", "", "val"), (8, "S/r/a.mp4", "x" * 60000, "val"), (9, "S/r/a.mp4", f"{QUESTION}?", None), (10, "N/A", f"{QUESTION}?", "train"),
     ]
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "row_id bigint, video_id string, problem string, split_name string, t string, id int")
-    got = sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect())
+    got = sorted(tuple(r) for r in overlap.cross_split_pairs(df).select("train_id", "eval_id").collect())
     assert got == [(1, 2), (1, 2), (1, 4), (1, 4)]
     assert overlap.cross_split_pairs(df.filter("row_id < 0")).count() == 0
 
@@ -132,7 +132,7 @@ def test_pairs_against_brute_force(spark):
 
     rows = [(i, f"S/r/{i % 3}.mp4", slip(t), "train" if i % 3 else "val") for i, t in enumerate(texts + [slip(x) for x in texts])]
     rows = [(i, v, t, "train" if rng.random() < 0.6 else "val") for i, v, t, _ in rows]
-    got = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
+    got = {tuple(r)[:2] for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
     want = {(a, b) for a, va, ta, sa in rows if sa == "train" for b, vb, tb, sb in rows if sb == "val" and va == vb and overlap.same_question(overlap.asked(ta), overlap.asked(tb))}
     assert len(want) > 30 and len(got & want) >= 0.98 * len(want) and not got - want
 
@@ -144,6 +144,34 @@ def test_pairs_of_short_questions_with_lead_ins(spark):
     leads = [(lead, q) for lead in before for q in short]
     rows += [(100 + i, "S/r/a.mp4", f"{lead} {q}", "val" if i % 2 else "train") for i, (lead, q) in enumerate(leads)]
     rows += [(200 + i, "S/r/a.mp4", f"{lead} {q} considering everything visible onscreen afterwards", "train" if i % 2 else "val") for i, (lead, q) in enumerate(leads)]
-    got = {tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
+    got = {tuple(r)[:2] for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
     want = {(a, b) for a, _, p, s in rows if s == "train" for b, _, q, u in rows if u == "val" and overlap.same_question(overlap.asked(p), overlap.asked(q))}
     assert got == want and any(a >= 100 > b for a, b in want) and any(b >= 100 > a for a, b in want)
+
+
+def test_overlap_is_the_shared_length_of_the_shorter_text():
+    a = "what does the potter in the olive vest do right after the farmer unpacks the steel funnel"
+    got = overlap.shared_shares([a, a, a, "who is it", ""], [a, f"meanwhile behind the curtain {a}", "nothing of this is alike", "kindly who is it", ""], 0.4)
+    assert got[0] == 1 and 0.7 < got[1] <= 1 and got[2] < 0.2 and got[3] > 0.8 and got[4] == 0
+    owner, digest, length = chunking.chunk_texts([a.encode(), a.replace("olive", "teal").encode()], overlap.MASK_BITS)
+    shared = sum(n for d, n in zip(digest[owner == 0], length[owner == 0]) if d in set(digest[owner == 1]))
+    assert overlap.shared_shares([a], [a.replace("olive", "teal")], 0.0)[0] == pytest.approx(shared / (len(a) - 1), abs=0.02)
+
+
+def test_report_of_overlaps(spark):
+    rows = [(1, "S/r/a.mp4", f"{QUESTION}?", "train"), (2, "S/r/a.mp4", f"{QUESTION}!", "val"), (3, "S/r/a.mp4", f"Q. {QUESTION.replace('vest', 'veest')}?", "test"), (4, "S/r/a.mp4", f"{QUESTION}?", "train")]
+    df = spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")
+    got = {r.eval_id: (r.overlap, r.partners) for r in overlap.record_overlaps(overlap.cross_split_pairs(df)).collect()}
+    assert got[2] == (1.0, 2) and 0.4 <= got[3][0] < 1 and got[3][1] == 2
+
+
+def test_hot_chunks_are_spread_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_SHARE", 0.0)
+    monkeypatch.setattr(overlap, "MAX_KEY_BITS", 16)
+    rng = random.Random(8)
+    who, what = ["potter", "farmer", "usher", "diver"], ["steel funnel", "torn map", "round tray", "soft hose"]
+    texts = [f"Which object does the {rng.choice(who)} in the {rng.choice(['red', 'teal', 'navy'])} vest pick up once the {rng.choice(what)} has been moved?" for _ in range(300)]
+    rows = [(i, "S/r/0.mp4", t if i % 4 else t.replace("vest", "veest"), "train" if rng.random() < 0.6 else "val") for i, t in enumerate(texts)]
+    got = {tuple(r)[:2] for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
+    want = {(a, b) for a, _, ta, sa in rows if sa == "train" for b, _, tb, sb in rows if sb == "val" and overlap.same_question(overlap.asked(ta), overlap.asked(tb))}
+    assert got == want
