@@ -175,3 +175,47 @@ def test_hot_chunks_are_spread_and_lose_no_pair(spark, monkeypatch):
     got = {tuple(r)[:2] for r in overlap.cross_split_pairs(spark.createDataFrame(rows, "row_id bigint, video_id string, problem string, split_name string")).collect()}
     want = {(a, b) for a, _, ta, sa in rows if sa == "train" for b, _, tb, sb in rows if sb == "val" and overlap.same_question(overlap.asked(ta), overlap.asked(tb))}
     assert got == want
+
+
+def gap_of(sizes, target, **kw):
+    taken = related.closest_fill(sizes, target, **kw)
+    assert all(0 < n <= dict(sizes)[s] for s, n in taken.items())
+    return abs(target - sum(s * n for s, n in taken.items()))
+
+
+def test_fill_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        sizes = [(s, rng.randint(1, 4)) for s in rng.sample(range(1, 60), rng.randint(1, 5))]
+        totals = {0}
+        for s, m in sizes:
+            totals = {t + s * k for t in totals for k in range(m + 1)}
+        target = rng.randint(0, max(totals) + 20)
+        assert gap_of(sizes, target) == min(abs(target - t) for t in totals)
+        if 1 in dict(sizes):
+            # with a small bit set the gap stays as small wherever single rows can close it
+            assert gap_of(sizes, target, bits=64) <= max(0, max(s for s, _ in sizes) - dict(sizes)[1])
+
+
+def test_fill_is_exact_beyond_the_bit_set():
+    sizes = [(1, 20_000_000), (2, 3_000_000), (7_000_003, 1), (411, 900), (5_000, 77)]
+    for target in (3_260_000, 4_322_088, 5_000_001, 17_777_777, 33_000_001):
+        assert gap_of(sizes, target) == 0
+    even = [(2, 10_000_000), (1_000_000, 30)]
+    assert gap_of(even, 20_000_001) == 1 and gap_of(even, 44_000_000) == 0
+
+
+def test_fill_of_many_sizes_is_bounded():
+    import tracemalloc
+
+    rng = random.Random(6)
+    sizes = [(s, rng.randint(1, 3)) for s in range(1, 50_001)]
+    tracemalloc.start()
+    for target in (100_000, 250_000_000):
+        assert gap_of(sizes, target) == 0
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_fill_of_a_single_large_group():
+    assert related.closest_fill([(100, 1)], 80) == {100: 1} and related.closest_fill([(100, 1)], 40) == {} and related.closest_fill([(1000, 1)], 600) == {1000: 1}
