@@ -106,6 +106,16 @@ def relative_path(path: Column, start: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(steps, "/"), F.lit("")), F.lit("."))
 
 
+def joined_path(path: Column, base: Column) -> Column:
+    """``path`` below ``base`` unless it is absolute, without empty and dot parts; ``..`` takes the part before it back."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(base, F.lit("/"), path))
+    real = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    up = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    # element_at of an empty array is an error, so a mark stands before the first part
+    folded = F.aggregate(real, F.array(F.lit("..")).cast("array<string>"), up)
+    return F.concat(F.when(F.startswith(whole, F.lit("/")), F.lit("/")).otherwise(F.lit("")), F.array_join(F.slice(folded, 2, F.greatest(F.size(folded) - 1, F.lit(0))), "/"))
+
+
 def image_subset(data_source: Column, path: Column) -> Column:
     """First part of the source; else the second path part under one of the known domains, else the first."""
     s, parts = trim_ws(F.coalesce(data_source, F.lit(""))), path_parts(repo_path(path))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framewright.functions import paths as P
 from framewright.functions.paths import drop_suffix
 from framewright.operators import expand as X
 from framewright.operators import resolve as V
@@ -11,6 +12,7 @@ from framewright.plans import dialect as D
 from framewright.plans.filters import _ANS, _KINDQ, _LEN, _TRACE, PERSP
 from framewright.plans.registry import Registry
 from framewright.session import table
+from framewright.sources import files, jsonl
 
 R = Registry()
 C = F.col
@@ -64,24 +66,67 @@ def memo_join_first_wins(spark, d):
 @R.query("url_memo", """SELECT g.row_id, s.local_name FROM grpo_rows g LEFT JOIN (SELECT DISTINCT video_id, 'clip_' || substr(sha1(video_id), 1, 12) AS local_name FROM grpo_rows WHERE contains(video_id, '://')) s ON g.video_id = s.video_id""")
 def url_memo(spark, d):
     rows = table(spark, d, "grpo_rows").select("row_id", "video_id")
-    urls = rows.filter(F.contains("video_id", F.lit("://"))).select("video_id").distinct().withColumn("local_name", F.concat(F.lit("clip_"), F.substring(F.sha1("video_id"), 1, 12)))
-    return rows.join(urls, "video_id", "left").select("row_id", "local_name")
+    made = F.when(F.contains("video_id", F.lit("://")), F.concat(F.lit("clip_"), F.substring(F.sha1("video_id"), 1, 12)))
+    return V.memo_join(rows, "video_id", ["row_id"], "local_name", made).select("row_id", "local_name")
 
 
-@R.query("frame_list_agg", "SELECT l_orderkey, list_sort(list(DISTINCT l_shipdate)) AS dates, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL")
+def _sft_files(spark, d):
+    """Known paths: media of the perspective annotations, and the clips."""
+    p = table(spark, d, "sft_perspective_raw")
+    media = p.select(F.explode("frames").alias("f")).unionByName(p.select(C("image").alias("f"))).filter("f <> ''").select(P.joined_path(C("f"), F.lit("sft")).alias("path"))
+    return media.unionByName(table(spark, d, "media_catalogue").filter("path IS NOT NULL").select("path")).distinct()
+
+
+_SFT_FILES = """SELECT DISTINCT path FROM (SELECT CASE WHEN f LIKE '../%' THEN substr(f, 4) ELSE 'sft/' || f END AS path FROM (SELECT unnest(frames) AS f FROM sft_perspective_raw UNION ALL SELECT image FROM sft_perspective_raw) WHERE f <> ''
+ UNION ALL SELECT path FROM media_catalogue WHERE path IS NOT NULL)"""
+_LISTS = "SELECT regexp_replace(path, '/[^/]*$', '') AS directory, list_sort(list(DISTINCT path) FILTER (regexp_matches(lower(path), '[^/.][.](jpg|jpeg|png)$'))) AS frames FROM ({}) WHERE contains(path, '/') GROUP BY ALL"
+
+
+@R.query("frame_list_agg", f"SELECT directory, coalesce(frames, CAST([] AS VARCHAR[])) AS frames FROM ({_LISTS.format(_SFT_FILES)})")
 def frame_list_agg(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_shipdate")).alias("dates"), F.count(F.lit(1)).alias("n"))
+    return files.frame_lists(_sft_files(spark, d))
+
+
+_BELOW = "CASE WHEN {0} LIKE '../%' THEN substr({0}, 4) ELSE 'sft/' || {0} END"
+
+
+@R.query("sft_media_cascade", f"""WITH files AS ({_SFT_FILES}), lists AS ({_LISTS.format('SELECT path FROM files')}),
+ item AS (SELECT raw_id, i, {_BELOW.format('f')} AS low, f FROM (SELECT raw_id, i, trim(frames[i]) AS f FROM (SELECT raw_id, frames, unnest(range(1, len(frames) + 1)) AS i FROM sft_raw)) WHERE f <> ''),
+ own AS (SELECT raw_id, list(p ORDER BY i) AS frames FROM (SELECT raw_id, i, CASE WHEN low IN (SELECT path FROM files) THEN low WHEN f IN (SELECT path FROM files) THEN f END AS p FROM item) WHERE p IS NOT NULL GROUP BY ALL),
+ sub AS (SELECT raw_id, frames FROM (SELECT raw_id, l.frames, row_number() OVER (PARTITION BY raw_id ORDER BY prio) AS rn FROM (SELECT raw_id, prio, 'frames/' || s || trim(frame_subdir) AS directory FROM sft_raw, (VALUES (0, ''), (1, 'train/'), (2, 'test/')) v(prio, s) WHERE trim(frame_subdir) <> '') JOIN lists l USING (directory) WHERE len(l.frames) > 0) WHERE rn = 1),
+ one AS (SELECT raw_id, image FROM (SELECT raw_id, p AS image, row_number() OVER (PARTITION BY raw_id ORDER BY prio) AS rn FROM (SELECT raw_id, prio, CASE WHEN {_BELOW.format('f')} IN (SELECT path FROM files) THEN {_BELOW.format('f')} WHEN f IN (SELECT path FROM files) THEN f END AS p
+  FROM (SELECT raw_id, 0 AS prio, trim(image) AS f FROM sft_raw UNION ALL SELECT raw_id, 1, trim(image_path) FROM sft_raw UNION ALL SELECT raw_id, 2, 'media/' || trim(video_path) FROM sft_raw WHERE trim(video_path) <> '') WHERE f <> '') WHERE p IS NOT NULL) WHERE rn = 1)
+ SELECT r.raw_id, list_transform(coalesce(own.frames, sub.frames)[1:3], lambda p: '../../' || p) AS frames, CASE WHEN own.frames IS NULL AND sub.frames IS NULL THEN '../../' || one.image END AS image
+ FROM sft_raw r LEFT JOIN own USING (raw_id) LEFT JOIN sub USING (raw_id) LEFT JOIN one USING (raw_id)""")
+def sft_media_cascade(spark, d):
+    rows = table(spark, d, "sft_raw").select("raw_id", "frames", "frame_subdir", "image", "image_path", "video_path")
+    singles = [C("image"), C("image_path"), F.when(F.trim("video_path") != "", F.concat(F.lit("media/"), F.trim("video_path")))]
+    return V.sft_media_cascade(rows, "raw_id", _sft_files(spark, d), frames=C("frames"), subdir=C("frame_subdir"), singles=singles, root="frames", base="sft", out_dir="sft/out", most=3)
+
+
+def _grpo_files(spark, d):
+    """Known paths: the frames of training rows, of each data set's clips below one split, and of the clips of the catalogue by stem."""
+    g = table(spark, d, "grpo_rows")
+    listed = g.filter("split_name = 'train'").select(F.explode("frames").alias("f")).filter("f <> ''").select(P.joined_path(C("f"), F.lit("eval")).alias("path"))
+    by_name = g.filter("split_name = 'val'").select(F.concat(F.lit("frames/val/"), "dataset_name", F.lit("/frame_000.jpg")).alias("path"))
+    stems = table(spark, d, "media_catalogue").filter("name IS NOT NULL").select(F.concat(F.lit("frames/test/"), P.safe_stem(P.drop_suffix(C("name"))), F.lit("/frame_000.png")).alias("path"))
+    return listed.unionByName(by_name).unionByName(stems).distinct()
 
 
-_REAL = "list_filter(r.frames, lambda f: f IS NOT NULL AND f <> '')"
+_GRPO_FILES = f"""SELECT DISTINCT path FROM (SELECT CASE WHEN f LIKE '../%' THEN substr(f, 4) ELSE 'eval/' || f END AS path FROM (SELECT unnest(frames) AS f FROM grpo_rows WHERE split_name = 'train') WHERE f <> ''
+ UNION ALL SELECT 'frames/val/' || dataset_name || '/frame_000.jpg' FROM grpo_rows WHERE split_name = 'val' UNION ALL SELECT 'frames/test/' || {D.safe_stem(D.drop_suffix('name'))} || '/frame_000.png' FROM media_catalogue WHERE name IS NOT NULL)"""
 
 
-@R.query("frame_cascade", f"""SELECT r.row_id, CASE WHEN coalesce(len({_REAL}), 0) > 0 THEN {_REAL} ELSE c.frames END AS frames
- FROM grpo_rows r LEFT JOIN (SELECT name, [min(path)] AS frames FROM media_catalogue WHERE name IS NOT NULL AND path IS NOT NULL GROUP BY name) c ON list_extract(string_split(r.video_id, '/'), -1) = c.name""")
+@R.query("frame_cascade", f"""WITH files AS ({_GRPO_FILES}), lists AS ({_LISTS.format('SELECT path FROM files')}),
+ item AS (SELECT row_id, i, CASE WHEN f LIKE '../%' THEN substr(f, 4) ELSE 'eval/' || f END AS p0, CASE WHEN f LIKE '../%' THEN substr(f, 4) ELSE 'frames/' || f END AS p1, f FROM (SELECT row_id, i, trim(frames[i]) AS f FROM (SELECT row_id, frames, unnest(range(1, len(frames) + 1)) AS i FROM grpo_rows)) WHERE f <> ''),
+ own AS (SELECT row_id, list_sort(list(p)) AS frames FROM (SELECT row_id, CASE WHEN p0 IN (SELECT path FROM files) THEN p0 WHEN p1 IN (SELECT path FROM files) THEN p1 WHEN f IN (SELECT path FROM files) THEN f END AS p FROM item) WHERE p IS NOT NULL GROUP BY ALL),
+ tried AS (SELECT row_id, 1 AS prio, 'frames/' || split_name || '/' || dataset_name AS directory FROM grpo_rows UNION ALL SELECT row_id, 2, 'frames/' || split_name || '/' || {D.safe_stem(D.drop_suffix("list_extract(string_split(nullif(trim(video_id), ''), '/'), -1)"))} FROM grpo_rows WHERE trim(video_id) <> ''),
+ sub AS (SELECT row_id, frames FROM (SELECT row_id, coalesce(l.frames, CAST([] AS VARCHAR[])) AS frames, row_number() OVER (PARTITION BY row_id ORDER BY prio) AS rn FROM tried JOIN lists l USING (directory)) WHERE rn = 1)
+ SELECT g.row_id, coalesce(own.frames, sub.frames, CAST([] AS VARCHAR[])) AS frames FROM grpo_rows g LEFT JOIN own USING (row_id) LEFT JOIN sub USING (row_id)""")
 def frame_cascade(spark, d):
-    rows = table(spark, d, "grpo_rows").select("row_id", "frames", F.element_at(F.split("video_id", "/"), -1).alias("name"))
-    cat = V.catalogue(table(spark, d, "media_catalogue")).select("name", F.array("path").alias("listed"))
-    return rows.join(cat, "name", "left").select("row_id", V.frame_cascade(C("frames"), C("listed")).alias("frames"))
+    rows = table(spark, d, "grpo_rows").select("row_id", "frames", "split_name", "dataset_name", "video_id")
+    none = F.lit(None).cast("string")
+    return V.frame_cascade(rows, "row_id", _grpo_files(spark, d), lists=[C("frames")], frame_dir=none, split=C("split_name"), subdir=C("dataset_name"), video_id=C("video_id"), root="frames", base="eval")
 
 
 @R.query("pending_media", "SELECT DISTINCT video_path FROM sft_raw r WHERE video_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM media_catalogue m WHERE m.path = 'media/' || r.video_path)")
@@ -111,9 +156,9 @@ def positional_zip(spark, d):
 
 @R.query("union_sources", "SELECT 'length' AS source, raw_id AS id, question, question_lang FROM sft_raw UNION ALL SELECT 'perspective', persp_id, question, NULL FROM sft_perspective_raw")
 def union_sources(spark, d):
-    a = table(spark, d, "sft_raw").select(F.lit("length").alias("source"), C("raw_id").alias("id"), "question", "question_lang")
-    b = table(spark, d, "sft_perspective_raw").select(F.lit("perspective").alias("source"), C("persp_id").alias("id"), "question")
-    return a.unionByName(b, allowMissingColumns=True)
+    a = table(spark, d, "sft_raw").select(C("raw_id").alias("id"), "question", "question_lang")
+    b = table(spark, d, "sft_perspective_raw").select(C("persp_id").alias("id"), "question")
+    return jsonl.read_configs({"length": a, "perspective": b}, "source")
 
 
 _A, _CT, _LC = (D.trim_ws(f"coalesce({c}, '')") for c in ("answer_raw", "cot_raw", "long_cot_raw"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from framewright.functions.paths import base_name, suffix
 
 # Suffixes of clips and of frames.
-VIDEO_SUFFIXES = [".mp4", ".mkv", ".webm", ".avi", ".mov"]
-FRAME_SUFFIXES = [".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif"]
+VIDEO_SUFFIXES = [".mp4", ".mkv", ".webm", ".mov", ".avi"]
+FRAME_SUFFIXES = [".jpg", ".jpeg", ".png"]
 
 
 def list_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:
@@ -20,9 +20,11 @@ def list_files(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataF
     return found.select(base_name(F.col("path")).alias("name"), "path", suffix(F.col("path")).alias("suffix"), "length").filter(F.col("suffix").isin(*suffixes))
 
 
-def frame_lists(files: DataFrame) -> DataFrame:
-    """(directory, frames): distinct paths of each directory in path order."""
-    return files.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("directory")).agg(F.array_sort(F.collect_set("path")).alias("frames"))
+def frame_lists(files: DataFrame, suffixes: Sequence[str] = tuple(FRAME_SUFFIXES)) -> DataFrame:
+    """(directory, frames): distinct paths of the frames of each directory in path order; empty where it holds other files only."""
+    frame = F.when(suffix(F.col("path")).isin(*suffixes), F.col("path"))
+    held = files.filter(F.contains("path", F.lit("/")))
+    return held.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("directory")).agg(F.array_sort(F.collect_set(frame)).alias("frames"))
 
 
 def pick_layout(exists: Callable[[str], bool], root: str, single: str | None = None) -> dict[str, str]:
