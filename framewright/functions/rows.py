@@ -74,6 +74,44 @@ def rename_prefix(key: Column, prefixes: list[tuple[str, str]]) -> Column:
     return key if out is None else out.otherwise(key)
 
 
+# Key parts that are rewritten in adapter weights, in order, and the second list for merger keys only.
+ADAPTER_PARTS = [
+    (".model.model.language_model.layers.", ".model.model.layers."),
+    (".model.model.visual.blocks.", ".model.visual.blocks."),
+    (".model.model.visual.merger.", ".model.visual.merger."),
+]
+MERGER_PARTS = [("lora_A.weight", "lora_A.default.weight"), ("lora_B.weight", "lora_B.default.weight")]
+
+
+def replace_parts(key: Column, parts: list[tuple[str, str]]) -> Column:
+    for old, new in parts:
+        key = F.replace(key, F.lit(old), F.lit(new))
+    return key
+
+
+def adapter_key(key: Column) -> Column:
+    """The key of an adapter weight as the merged model names it."""
+    k = replace_parts(key, ADAPTER_PARTS)
+    return F.when(F.contains(k, F.lit(".visual.merger.")), replace_parts(k, MERGER_PARTS)).otherwise(k)
+
+
+def strip_wrapper(key: Column, prefix: str | None = None) -> Column:
+    """The key without ``prefix``, or else without the wrapper's own prefix, where it starts with one."""
+    cut = lambda p: F.substr(key, F.lit(len(p) + 1))
+    plain = F.when(F.startswith(key, F.lit("base_model.")), cut("base_model.")).otherwise(key)
+    return F.when(F.startswith(key, F.lit(prefix)), cut(prefix)).otherwise(plain) if prefix else plain
+
+
+def is_quantiser_key(key: Column) -> Column:
+    """Whether a key holds a quantiser's metadata, which other loaders don't take."""
+    return F.endswith(key, F.lit(".SCB")) | F.endswith(key, F.lit(".weight_format")) | F.contains(key, F.lit(".SCB."))
+
+
+def nested_pick(record: Column, fields: list[str], default: str) -> Column:
+    """First field of a struct or map that is neither NULL nor empty, stripped; a default where there is none."""
+    return trim_ws(F.coalesce(*[F.nullif(record[f], F.lit("")) for f in fields], F.lit(default)))
+
+
 def chat_turns(system: str, text: Column, n_images: Column) -> Column:
     """A system turn and a user turn of image places followed by the text."""
     part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.cast("string").alias("text"))

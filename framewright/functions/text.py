@@ -52,7 +52,11 @@ def extract_answer(c: Column) -> Column:
 
 def choice_letter(c: Column, letters: str = "A-G") -> Column:
     """A letter that stands alone, else the first letter of the range anywhere, else the normalised text (lower case)."""
-    a = extract_answer(c)
+    return letter_of(extract_answer(c), letters)
+
+
+def letter_of(a: Column, letters: str = "A-G") -> Column:
+    """The letter of an answer that is out of its tag."""
     alone = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])([{letters}])(?:$|[^\p{{L}}\p{{N}}_])"
     anywhere = rf"(?i)([{letters}])"
     return F.when(a.rlike(alone), F.lower(F.regexp_extract(a, alone, 1))).when(a.rlike(anywhere), F.lower(F.regexp_extract(a, anywhere, 1))).otherwise(normalize_space(a))

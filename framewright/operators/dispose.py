@@ -88,8 +88,9 @@ def perspective_reason(df: DataFrame) -> DataFrame:
     )
 
 
-def choice_rows(df: DataFrame, options: str) -> DataFrame:
-    return df.filter(F.size(option_list(F.col(options))) >= 2)
+def choice_rows(df: DataFrame, options: str, path: str) -> DataFrame:
+    """Rows that have a path and two options or more."""
+    return df.filter((F.size(option_list(F.col(options))) >= 2) & (trim_ws(F.coalesce(F.col(path), F.lit(""))) != ""))
 
 
 def counts_by(df: DataFrame, *cols: str) -> DataFrame:
