@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import text as T
@@ -53,6 +53,26 @@ def targets(df: DataFrame, output: str, formats: list[str], drop_code: bool = Tr
     return kept.select("*", F.inline(F.slice(rows, 1, 1) if single else rows))
 
 
+def preprocess_stats(df: DataFrame, fields: Column, output: str, media: Column, formats: list[str], mode: Column, drop_code: bool = True) -> DataFrame:
+    """(statistic, n): what became of every row: ``kept_<visual|text>_<format>`` per target, the reasons for skips, ``kept_total``.
+
+    ``fields`` is NULL where instruction or output is missing; ``mode`` is length or perspective. One pass
+    makes an array of statistics per row, so a row with several targets counts under each.
+    """
+    c = F.col(output)
+    answer, cot, long_cot = T.tag_block(c, "ANSWER"), T.tag_block(c, "COT"), T.tag_block(c, "LONG_COT")
+    there = {"answer": answer.isNotNull(), "cot": cot.isNotNull() & answer.isNotNull(), "long_cot": long_cot.isNotNull() & answer.isNotNull()}
+    code = T.has_code_block(c) if drop_code else F.lit(False)
+    modality = F.when(media, "kept_visual_").otherwise("kept_text_")
+    made = F.filter(F.array(*[F.when(~code & there[f], F.concat(modality, F.lit(f))) for f in formats]), lambda x: x.isNotNull())
+    skip = F.array(F.when(code, "skip_code_cot").otherwise("skip_no_matching_format"))
+    persp = F.array(F.when(T.perspective_target(c).isNull(), "skip_missing_perspective_tags").otherwise(F.concat(modality, F.lit("perspective"))))
+    by_mode = F.when(mode == "perspective", persp).otherwise(F.when(F.size(made) > 0, made).otherwise(skip))
+    per_row = F.when(fields.isNull(), F.array(F.lit("skip_missing_fields"))).otherwise(by_mode)
+    with_total = F.concat(per_row, F.filter(F.transform(per_row, lambda x: F.when(F.startswith(x, F.lit("kept_")), F.lit("kept_total"))), lambda x: x.isNotNull()))
+    return df.select(F.explode(with_total).alias("statistic")).groupBy("statistic").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 def repeated(df: DataFrame, times: int) -> DataFrame:
     """Each row ``times`` times, numbered from 0."""
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("gen_idx"))

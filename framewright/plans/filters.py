@@ -8,6 +8,7 @@ from framewright.functions import paths as P
 from framewright.functions import text as T
 from framewright.functions.rows import resolve_fields
 from framewright.operators import dispose as S
+from framewright.operators import expand as X
 from framewright.plans import dialect as D
 from framewright.plans.registry import Registry
 from framewright.session import table
@@ -113,12 +114,18 @@ def run_summary(spark, d):
 _MODAL = D.has_media("frames", "image", "NULL")
 
 
-@R.query("preprocess_stats", f"""SELECT sft_mode, CAST(count(*) FILTER ({_MODAL} AND ok) AS BIGINT) AS visual_kept, CAST(count(*) FILTER (NOT {_MODAL} AND ok) AS BIGINT) AS text_kept, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS missing_fields
- FROM (SELECT *, {D.trim_ws("coalesce(instruction, '')")} <> '' AND {D.trim_ws("coalesce(output, '')")} <> '' AS ok FROM sft_export) GROUP BY ALL""")
+_TAGS = {t: f"{D.tag_block('output', t)} IS NOT NULL" for t in ("ANSWER", "COT", "LONG_COT", "CODE")}
+_PTAGS = " AND ".join("(" + " OR ".join(f"{D.tag_block('output', t)} IS NOT NULL" for t in tags) + ")" for tags in T.PERSPECTIVE_TAGS)
+_STATS = f"""WITH r AS (SELECT export_id, sft_mode, {_MODAL} AS visual, {D.trim_ws("coalesce(instruction, '')")} <> '' AND {D.trim_ws("coalesce(output, '')")} <> '' AS ok, {_TAGS['ANSWER']} AS a, {_TAGS['COT']} AS c, {_TAGS['LONG_COT']} AS l, {_TAGS['CODE']} AS code, {_PTAGS} AS p FROM sft_export),
+ k AS (SELECT CASE WHEN visual THEN 'kept_visual_' ELSE 'kept_text_' END || f AS statistic FROM r, (VALUES ('answer'), ('cot'), ('long_cot'), ('perspective')) v(f)
+  WHERE ok AND CASE WHEN sft_mode = 'perspective' THEN f = 'perspective' AND p ELSE NOT code AND CASE f WHEN 'answer' THEN a WHEN 'cot' THEN c AND a WHEN 'long_cot' THEN l AND a ELSE false END END)
+ SELECT statistic, CAST(count(*) AS BIGINT) AS n FROM (SELECT statistic FROM k UNION ALL SELECT 'kept_total' FROM k UNION ALL
+ SELECT CASE WHEN NOT ok THEN 'skip_missing_fields' WHEN sft_mode = 'perspective' THEN 'skip_missing_perspective_tags' WHEN code THEN 'skip_code_cot' ELSE 'skip_no_matching_format' END FROM r
+  WHERE NOT ok OR CASE WHEN sft_mode = 'perspective' THEN NOT p ELSE code OR NOT a END) GROUP BY ALL"""
+
+
+@R.query("preprocess_stats", _STATS)
 def preprocess_stats(spark, d):
     none = F.lit(None).cast("string")
-    ok = resolve_fields(C("instruction"), C("input"), C("output"), none, none, none, none).isNotNull()
-    visual = S.has_media(C("frames"), C("image"), none)
-    df = table(spark, d, "sft_export").select("sft_mode", F.when(~ok, "missing_fields").when(visual, "visual_kept").otherwise("text_kept").alias("k"))
-    out = df.groupBy("sft_mode").pivot("k", ["visual_kept", "text_kept", "missing_fields"]).agg(F.count(F.lit(1)))
-    return out.fillna(0)
+    ok = resolve_fields(C("instruction"), C("input"), C("output"), none, none, none, none)
+    return X.preprocess_stats(table(spark, d, "sft_export"), ok, "output", S.has_media(C("frames"), C("image"), none), ["answer", "cot", "long_cot"], C("sft_mode"))

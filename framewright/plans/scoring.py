@@ -60,6 +60,26 @@ def format_class_counts(spark, d):
     return S.histogram(scored(spark, d), "format_class", "reasoning_kind")
 
 
+_PIECE = r"[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]".replace("\\\\", "\\")
+_COUNTED = f"""SELECT *, CAST(len(regexp_extract_all(coalesce(output, ''), '{_PIECE}')) AS BIGINT) AS completion_tokens, CAST(len(regexp_extract_all(reasoning_body, '{_PIECE}')) AS BIGINT) AS reasoning_tokens
+ FROM ({SCORED.replace('FROM sft_export', ', output FROM sft_export')})"""
+_MAPS = ["reasoning_kind", "pred_answer", "gt_answer", "format_class"]
+
+
+def _pieces(c):
+    """Words and single signs, as a stand-in for a tokenizer."""
+    return F.size(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)))
+
+
+@R.query("eval_summary", f"""WITH s AS ({_COUNTED}) SELECT sft_mode, {RATES}, round(coalesce(avg(completion_tokens), 0.0), 6) AS avg_completion_tokens, round(coalesce(avg(reasoning_tokens), 0.0), 6) AS avg_reasoning_tokens,
+ {", ".join(f"(SELECT string_agg(v || '=' || n, ',' ORDER BY v) FROM (SELECT coalesce({m}, 'none') AS v, count(*) AS n FROM s t WHERE t.sft_mode = s.sft_mode GROUP BY ALL)) AS {m}_counts" for m in _MAPS)} FROM s GROUP BY sft_mode""")
+def eval_summary(spark, d):
+    df = table(spark, d, "sft_export").select("sft_mode", "output", "gold_answer")
+    out = S.eval_summary(S.score_completions(df, "output", "gold_answer", tokens=_pieces), ["sft_mode"])
+    spelt = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select(*[c for c in out.columns if not c.endswith("_counts")], *[spelt(F.col(f"{m}_counts")).alias(f"{m}_counts") for m in _MAPS])
+
+
 for _range in T.LETTER_RANGES:
     _name = f"choice_letter_{_range.replace('-', '_').lower()}"
 

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.scoring import LENGTHS
+
 
 def write_jsonl(df: DataFrame, path: str, single_file: bool = False) -> None:
     """JSON lines in UTF-8, overwriting; NULL fields are written. One file only where asked, for small results."""
@@ -44,6 +46,15 @@ def allowed_keys(column: str, allowed: list[str]):
 
 def prediction_columns(scored: DataFrame, training: bool = False) -> DataFrame:
     """Columns of the prediction files, the short layout for training runs."""
-    short = ["video_id", "question_id", "question_category", "problem", "pred_raw", "pred_answer", "gt_answer", "correct", "format_ok"]
-    wide = [*short, "reasoning_kind", "reasoning_body", "completion_chars", "completion_words", "reasoning_chars", "reasoning_words"]
-    return scored.select(*(short if training else wide))
+    about = ["video_id", "question_id", "question_category", "problem", *(["problem_cleaned"] if "problem_cleaned" in scored.columns else []), "pred_raw"]
+    graded = ["pred_answer", "gt_answer", "correct", "format_ok"]
+    if training:
+        return scored.select(*about, *graded)
+    kinds = [F.col("reasoning_kind").alias("detected_reasoning_type"), F.col("reasoning_body").alias("reasoning_text")]
+    return scored.select(*about, *kinds, *graded, *[c for c in LENGTHS if c in scored.columns])
+
+
+def write_report(summary: DataFrame, predictions: DataFrame, path: str) -> None:
+    """The summary as an indented JSON file and the predictions as JSON lines below one directory; predictions never reach the driver."""
+    write_summary(summary, f"{path}/metrics.json")
+    write_jsonl(predictions, f"{path}/results")
