@@ -56,10 +56,14 @@ def group_advantage(df: DataFrame, group: Sequence[str], reward: str = "reward")
 
 def reward_summary(df: DataFrame, group: Sequence[str], rewards: Sequence[str]) -> DataFrame:
     """One row: mean of each reward, of the total, and of the groups' deviations."""
-    one = F.lit(1).alias("__one")
-    sd = df.groupBy(*group).agg(F.stddev_samp("reward").alias("__sd")).groupBy(one).agg(F.avg("__sd").alias("reward_std"))
-    means = df.groupBy(one).agg(*[F.avg(r).alias(f"mean_{r}") for r in rewards], F.avg("reward").alias("mean_reward"))
-    return means.join(sd, "__one").drop("__one")
+    # sums per group first, then one row: no group and no row is read twice, and nothing is joined
+    n = F.col("__n")
+    sums = [F.sum(F.col(r).cast("double")).alias(f"__s{i}") for i, r in enumerate([*rewards, "reward"])]
+    met = [F.count(F.col(r)).alias(f"__c{i}") for i, r in enumerate([*rewards, "reward"])]
+    per = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.stddev_samp("reward").alias("__sd"), *sums, *met)
+    names = [*[f"mean_{r}" for r in rewards], "mean_reward"]
+    means = [F.try_divide(F.sum(f"__s{i}"), F.sum(f"__c{i}")).alias(name) for i, name in enumerate(names)]
+    return per.agg(*means, F.avg("__sd").alias("reward_std"), F.sum(n).alias("__rows")).filter(F.col("__rows") > 0).drop("__rows")
 
 
 def step_metrics(df: DataFrame, step: str, metric: str, value: str, prefix: str = "") -> DataFrame:

@@ -11,6 +11,11 @@ from framewright.functions.rows import in_eval, sample_order
 from framewright.operators.indexing import dense_index
 
 
+def whole_table(some: str) -> Column:
+    """The same value for every row, though no constant to the planner, which would plan joins on one as nested loops."""
+    return F.pmod(F.xxhash64(some), F.lit(1))
+
+
 def wanted_rows(total: Column, ratio: float) -> Column:
     """Rows of a stratum to draw: total x ratio rounded half to even, 1 at least, all at most."""
     return F.least(total, F.greatest(F.lit(1), F.bround(total * F.lit(float(ratio))).cast("bigint")))
@@ -34,7 +39,7 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], ratio: float, ids: S
 
 def global_sample(df: DataFrame, ratio: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``wanted_rows`` rows of the table; none of an empty one."""
-    return stratified_sample(df.withColumn("__all", F.lit(1)), ["__all"], ratio, ids, seed).drop("__all")
+    return stratified_sample(df.withColumn("__all", whole_table(ids[0])), ["__all"], ratio, ids, seed).drop("__all")
 
 
 def sampling_stats(df: DataFrame, strata: Sequence[str], ratio: float) -> DataFrame:
@@ -47,10 +52,17 @@ def shuffled(df: DataFrame, ids: Sequence[str], seed: int = 42) -> DataFrame:
     return df.orderBy(sample_order(seed, *[F.col(i) for i in ids]), *ids)
 
 
+def placed(df: DataFrame, ids: Sequence[str], seed: int = 42) -> DataFrame:
+    """Add ``place``: 1..n in the order of ``shuffled``, without a sort of the whole table in one task."""
+    order = sample_order(seed, *[F.col(i) for i in ids])
+    ranked = dense_index(df.withColumn("__all", whole_table(ids[0])), ["__all"], ids, seed, name="place", order=order)
+    return ranked.withColumn("place", F.col("place") + 1).drop("__all")
+
+
 def head_split(df: DataFrame, fraction: float, ids: Sequence[str], seed: int = 42) -> DataFrame:
     """Add ``split``: the first min(max(1, ceil(n x fraction)), n - 1) rows of a seeded order are eval. Fewer than two rows are an error."""
-    ranked = dense_index(df.withColumn("__all", F.lit(1)), ["__all"], ids, seed, name="__k")
-    n = df.groupBy(F.lit(1).alias("__all")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = dense_index(df.withColumn("__all", whole_table(ids[0])), ["__all"], ids, seed, name="__k", order=sample_order(seed, *[F.col(i) for i in ids]))
+    n = df.groupBy(whole_table(ids[0]).alias("__all")).agg(F.count(F.lit(1)).alias("__n"))
     size = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(float(fraction))).cast("bigint"))
     checked = F.when(F.col("__n") < 2, F.raise_error(F.lit("a split needs two rows at least"))).otherwise(F.least(size, F.col("__n") - 1))
     # the right side is one row

@@ -72,10 +72,10 @@ def metric_line(spark, d):
     return df.select("user_id", W.metric_line(C("n"), [("loss", C("loss"), "%.6f"), ("length", C("length"), "%.2f"), ("kl", F.lit(None).cast("double"), "%.6f")]).alias("line"))
 
 
-@R.query("low_rank_merge", """WITH b AS (SELECT vec_id AS i, unnest(range(4)) AS k, unnest(embedding[1:4]) AS bv FROM embeddings WHERE vec_id < 40), a AS (SELECT vec_id AS k, unnest(range(64)) AS j, unnest(embedding) AS av FROM embeddings WHERE vec_id < 4)
+@R.query("low_rank_merge", """WITH b AS (SELECT vec_id AS i, unnest(range(4)) AS k, unnest(embedding[1:4]) AS bv FROM embeddings), a AS (SELECT vec_id AS k, unnest(range(64)) AS j, unnest(embedding) AS av FROM embeddings WHERE vec_id < 4)
  SELECT b.i, a.j, round(1.0::DOUBLE + sum(CAST(bv AS DOUBLE) * CAST(av AS DOUBLE)) * (32.0::DOUBLE / 4), 5) AS v FROM b JOIN a USING (k) GROUP BY ALL""")
 def low_rank_merge(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "v")).select(F.lit("w").alias("key"), C("vec_id").alias("i"), C("j").cast("bigint").alias("j"), C("v").cast("double").alias("v"))
-    small = e.filter("i < 40")
-    b, a = small.filter("j < 4"), e.filter("i < 4")
-    return W.low_rank_merge(small.withColumn("v", F.lit(1.0)), a, b, rank=4).select("i", "j", F.round("v", 5).alias("v"))
+    # one row of W and B for each vector of the table; A has as many rows as the rank
+    b, a = e.filter("j < 4"), e.filter("i < 4")
+    return W.low_rank_merge(e.withColumn("v", F.lit(1.0)), a, b, rank=4).select("i", "j", F.round("v", 5).alias("v"))

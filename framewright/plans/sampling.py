@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framewright.functions.rows import sample_order
 from framewright.operators import resolve as V
 from framewright.operators import sampling as S
-from framewright.operators.indexing import dense_index
 from framewright.plans.registry import Registry
 from framewright.session import table
 
@@ -45,6 +43,21 @@ def global_sample_size(spark, d):
     return S.global_sample(table(spark, d, "grpo_rows").select("row_id"), 0.1, ["row_id"]).agg(F.countDistinct("row_id").alias("n"))
 
 
+@R.query("global_sample", f"SELECT row_id FROM (SELECT row_id, {_rank('', '', 'row_id')} AS k, {_n('')} AS n FROM grpo_rows) WHERE k <= least(n, greatest(1, round_even(n * 0.1::DOUBLE, 0)))")
+def global_sample(spark, d):
+    return S.global_sample(table(spark, d, "grpo_rows").select("row_id"), 0.1, ["row_id"])
+
+
+@R.query("sample_shuffle", f"SELECT row_id, dataset_name, row_number() OVER (ORDER BY sha256('42::' || CAST(row_id AS VARCHAR)), row_id) AS place FROM (SELECT row_id, dataset_name, {_rank('dataset_name', '', 'row_id')} AS k, {_n('dataset_name')} AS n FROM grpo_rows) WHERE k <= least(n, greatest(1, round_even(n * 0.2::DOUBLE, 0)))")
+def sample_shuffle(spark, d):
+    return S.placed(S.stratified_sample(table(spark, d, "grpo_rows").select("row_id", "dataset_name"), ["dataset_name"], 0.2, ["row_id"]), ["row_id"])
+
+
+@R.query("head_split_rows", f"SELECT o_orderkey, CASE WHEN {_rank('', '', 'o_orderkey')} <= least(greatest(1, ceil(count(*) OVER () * 0.05::DOUBLE)), count(*) OVER () - 1) THEN 'eval' ELSE 'train' END AS split FROM orders")
+def head_split_rows(spark, d):
+    return S.head_split(table(spark, d, "orders").select("o_orderkey"), 0.05, ["o_orderkey"])
+
+
 @R.query("sampling_stats", "SELECT sft_mode, reasoning_depth, CAST(count(*) AS BIGINT) AS total, CAST(least(count(*), greatest(1, round_even(count(*) * 0.3::DOUBLE, 0))) AS BIGINT) AS sampled FROM sft_export GROUP BY ALL")
 def sampling_stats(spark, d):
     return S.sampling_stats(table(spark, d, "sft_export"), ["sft_mode", "reasoning_depth"], 0.3)
@@ -52,9 +65,7 @@ def sampling_stats(spark, d):
 
 @R.query("seeded_shuffle", f"SELECT s_suppkey, {_rank('', '', 's_suppkey')} AS place FROM supplier")
 def seeded_shuffle(spark, d):
-    df = table(spark, d, "supplier").select("s_suppkey", F.lit(1).alias("one"))
-    ranked = dense_index(df, ["one"], ["s_suppkey"], order=sample_order(42, C("s_suppkey")))
-    return ranked.select("s_suppkey", (C("idx") + 1).alias("place"))
+    return S.placed(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"])
 
 
 @R.query("shuffle_eval_split", "SELECT CAST(least(greatest(1, ceil(count(*) * 0.05::DOUBLE)), count(*) - 1) AS BIGINT) AS n_eval, CAST(count(*) - least(greatest(1, ceil(count(*) * 0.05::DOUBLE)), count(*) - 1) AS BIGINT) AS n_train FROM orders")
