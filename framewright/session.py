@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "framewright") -> SparkSession:
@@ -35,6 +34,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="framewright-ckpt-"))
 
 
@@ -50,8 +51,3 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} holds more than {limit} rows; it is a parameter table, not data")
     return rows
-
-
-def broadcast_checked(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``limit`` rows; otherwise leave the join to the planner."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
 
 def is_array_file(spark: SparkSession, path: str) -> bool:
     """Whether the first character that is not blank opens an array."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    first = in_file_order(spark, path).filter(F.trim("value") != "").orderBy("file", "block", "ordinal").limit(1).collect()
     return bool(first) and first[0].value.lstrip().startswith("[")
 
 
@@ -56,21 +58,36 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Union of several files by column name, with ``source_path`` and ``source_dir`` of each row."""
-    out: DataFrame | None = None
-    for p in paths:
-        df = read_records(spark, p).withColumn("source_path", F.col("_metadata.file_path"))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    """Rows of several files by column name, with ``source_path`` and ``source_dir`` of each row.
+
+    One job tells arrays from lines for all files, then each of the two shapes is one scan with one schema.
+    """
+    if not paths:
         raise ValueError("no files are given")
+    opens = in_file_order(spark, list(paths)).filter(F.trim("value") != "").groupBy("file").agg(F.min_by(F.substring(F.trim("value"), 1, 1), F.struct("block", "ordinal")).alias("c"))
+    arrays = {r.file for r in opens.filter("c = '['").collect()}
+    plain = lambda p: re.sub(r"^file:/*", "/", p)
+    known = {plain(unquote(f)) for f in arrays}
+    parts = [[p for p in paths if plain(p) in known], [p for p in paths if plain(p) not in known]]
+    out: DataFrame | None = None
+    for own, multi in zip(parts, (True, False), strict=True):
+        if own:
+            df = spark.read.option("mode", "FAILFAST").option("multiLine", multi).json(own).withColumn("source_path", F.col("_metadata.file_path"))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out.withColumn("source_dir", F.regexp_replace("source_path", r"/[^/]*$", ""))
 
 
-def read_prefix(spark: SparkSession, path: str, n: int | None, schema: T.StructType | str) -> DataFrame:
+def in_file_order(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, file, block, ordinal) of all lines: files by name, the blocks of a file by where they start, lines as they stand in a block."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ordinal")]
+    return spark.read.text(path).select("value", *at)
+
+
+def read_prefix(spark: SparkSession, path: str | list[str], n: int | None, schema: T.StructType | str) -> DataFrame:
     """The first ``n`` lines in file order, parsed; a blank or bad line among them is an error."""
-    lines = spark.read.text(path, wholetext=False)
+    lines = in_file_order(spark, path)
     if n is not None:
-        lines = lines.limit(n)
+        lines = lines.orderBy("file", "block", "ordinal").limit(n)
     parsed = lines.select(F.from_json(F.when(F.trim("value") == "", F.raise_error(F.lit("blank line"))).otherwise(F.col("value")), schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("r.*")
 

@@ -42,7 +42,7 @@ def test_query_agrees_with_sql(spark, con, name):
 def test_no_python_in_core_plans(spark):
     for name, fn in CORE.queries.items():
         plan = fn(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
-        assert not re.search(r"Python|Pandas|ArrowEval|CartesianProduct", plan), name
+        assert not re.search(r"Python|Pandas|ArrowEval|CartesianProduct|NestedLoop", plan), name
 
 
 @pytest.mark.parametrize("name", ["group_advantage", "group_stats_to_members"])
