@@ -65,6 +65,12 @@ def p8_clean(spark, d):
     return leaks.without_leaks(docs, p8_found(spark, d)).select("doc_id", "source", "lang")
 
 
+@R.query("p8_redacted")
+def p8_redacted(spark, d):
+    cleaned = leaks.without_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return cleaned.select("doc_id", "n_cuts", F.length("text").alias("n_chars"))
+
+
 @R.query("p8_report")
 def p8_report(spark, d):
     names = table(spark, d, "eval_items").select("item_id", "benchmark_name")
