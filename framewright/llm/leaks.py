@@ -32,13 +32,14 @@ SHARED_GRAM, SHARED_BY, SHARED_SHARE = 8, 5, 0.02
 #: Items that share so much of the one with fewer words are about one scene; so many of an item's rarest runs are looked at.
 SCENE_SHARE, SCENE_LINKS = 0.5, 8
 GAP = 10
-#: Equal words that a document has on one diagonal within LEAK_WORDS of a hit before the words are aligned.
-NEAR_WORDS = 7
+#: Words in a row around a hit that may be the item's, and equal ones among them, for which words are aligned; around an
+#: interruption or a word in two parts two such rows on near diagonals make up the first number, less GAP_LOSS.
+ROW_WORDS, EQUAL_WORDS, GAP_LOSS = 15, 9, 3
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _BREAK = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
 _TOKEN = re.compile(r"</?[A-Za-z][^<>]{0,200}>|[^\s<]+|<")
-PAIRS = 2_000_000
+PAIRS, PAIR_BITS, NO_WORD = 250_000, 20, (1 << 64) - 1
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -163,7 +164,17 @@ class ItemIndex:
         self.text, self.pos = g[1].astype(np.int64), g[2].astype(np.int64)
         # all items one after another, with room between them, for counting equal words on a diagonal
         self.start = np.cumsum([LEAK_WORDS, *[len(w) + LEAK_WORDS for w in self.words]])[: len(self.words)].astype(np.int64)
-        self.flat = np.full(int(sum(map(len, self.words))) + LEAK_WORDS * (len(self.words) + 1), (1 << 64) - 1, dtype=np.uint64)
+        self.flat = np.full(int(sum(map(len, self.words))) + LEAK_WORDS * (len(self.words) + 1), NO_WORD, dtype=np.uint64)
+        # pairs of items' words that may be each other's misspelling, as a table of bits: they share the word or one less a letter
+        less: dict[str, list[int]] = defaultdict(list)
+        for x, k in self.number.items():
+            for part in {x, *(x[:c] + x[c + 1 :] for c in range(len(x)))}:
+                less[part].append(k)
+        name = dict(zip(self.number.values(), self.number, strict=True))
+        pairs = {(a, b) for group in less.values() for a in group for b in group if a < b and near_word(name[a], name[b])}
+        self.near = np.zeros(1 << PAIR_BITS, dtype=bool)
+        if pairs:
+            self.near[self._pair(*(np.array(c, dtype=np.uint64) for c in zip(*pairs, strict=True)))] = True
         self.flat_own = np.zeros(len(self.flat), dtype=bool)
         for t, w in enumerate(self.words):
             self.flat_own[self.start[t] : self.start[t] + len(w)] = self.own[t]
@@ -191,6 +202,8 @@ class ItemIndex:
     def _scan(self, docs: list[list[str]], every: bool) -> list[tuple[int, int, int, int]]:
         number = self.number
         flat = np.array([number.get(x, 0) for d in docs for x in [*d, ""]], dtype=np.uint64)
+        if not len(docs):
+            return []
         if len(flat) < GRAM or not len(self.keys):
             return []
         ends = np.cumsum([len(d) + 1 for d in docs])
@@ -221,17 +234,21 @@ class ItemIndex:
                     # with the word between alike, it is a run
                     new = padded[x + LEAK_WORDS + 3] != self.flat[i + 3]
                 x, t, y, i = x[new], t[new], y[new], i[new]
-                same = np.zeros(len(x), dtype=np.int16)
-                for k in range(-LEAK_WORDS + 1, LEAK_WORDS):
-                    same += padded[x + LEAK_WORDS + k] == self.flat[np.clip(i + k, 0, len(self.flat) - 1)]
-                near = same >= NEAR_WORDS
-                found.append(np.stack([x[near], t[near], y[near]]))
-        x, t, y = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+                row, equal = self._rows(padded, x, i)
+                found.append(np.stack([x, t, y, row, equal])[:, row > GRAM - 1])
+        x, t, y, row, equal = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
         doc = np.searchsorted(ends, x, side="right")
         order = np.lexsort((x, t, doc))
+        x, t, y, row, equal, doc = x[order], t[order], y[order], row[order], equal[order], doc[order]
+        shift = np.abs(np.diff(x - y))
+        beside = (doc[1:] == doc[:-1]) & (t[1:] == t[:-1]) & (shift > 0) & (shift <= GAP + 2) & (np.diff(x) <= 2 * LEAK_WORDS) & (row[1:] + row[:-1] >= ROW_WORDS - GAP_LOSS)
+        near = (row >= ROW_WORDS) & (equal >= EQUAL_WORDS)
+        near[1:] |= beside
+        near[:-1] |= beside
+        x, t, y, doc = x[near], t[near], y[near], doc[near]
         out: list[tuple[int, int, int, int]] = []
         last, covered = (-1, -1), -1
-        for d, k, a, b in zip(doc[order].tolist(), t[order].tolist(), (x - starts[doc])[order].tolist(), y[order].tolist(), strict=True):
+        for d, k, a, b in zip(doc.tolist(), t.tolist(), (x - starts[doc]).tolist(), y.tolist(), strict=True):
             if (d, k) != last:
                 last, covered = (d, k), -1
             if a < covered:
@@ -242,6 +259,27 @@ class ItemIndex:
                 covered = end if every else 1 << 62
         return out
 
+    def _rows(self, padded: np.ndarray, x: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words in a row around each hit that may be the item's, up to LEAK_WORDS - 1 on either side, and how many are equal.
+
+        A word may be another one's misspelling if no item has it, or if two items have words so near.
+        """
+        row, equal = np.ones(len(x), dtype=np.int64), np.ones(len(x), dtype=np.int64)
+        for step in (1, -1):
+            live = np.arange(len(x))
+            for k in range(1, LEAK_WORDS):
+                a, b = padded[x[live] + LEAK_WORDS + step * k], self.flat[i[live] + step * k]
+                same = a == b
+                on = same | ((a == 0) & (b < NO_WORD)) | self.near[self._pair(a, b)]
+                live, same = live[on], same[on]
+                row[live] += 1
+                equal[live[same]] += 1
+        return row, equal
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (((np.minimum(a, b) * _P) ^ np.maximum(a, b)) * _P >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
     def passage(self, d: list[str], t: int, x: int, y: int) -> tuple[int, int, int]:
         """Words in a row of the item's own wording met around document word x and item word y; where they begin and end."""
         w, own = self.words[t], self.own[t]

@@ -3,7 +3,8 @@
 Each mix draws its rows from a pool. Every source gets its target share of the mix, capped at
 ``max_repeats`` uses of each of its rows. Output shards draw their source counts from a multinomial,
 corrected so that the totals per source are exact; slots map through a keyed pseudorandom permutation
-of the source's rows, and rows are joined by index. ``pack_blocks`` is no part of a mix.
+of the source's rows, and rows are joined by index. As shares are asked for in rows, a mix joins rows; with
+the blocks of ``token_blocks`` as rows it mixes packed tokens, and shares are of blocks of one length.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.paths import trim_ws
@@ -20,7 +21,8 @@ from framewright.operators.indexing import dense_index
 from framewright.session import small_rows
 
 MAX_TARGET_ROWS = 100_000
-MAX_SHARDS = 4096
+#: Groups of shards a mix is cut into before each is cut into its shards.
+GROUPS = 1024
 SLOT_CHUNK = 65_536
 
 
@@ -58,12 +60,13 @@ def exact_totals(shares: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def shard_counts(totals: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources: multinomial draws per shard, moved within shards until columns add to ``totals``."""
+def shard_counts(totals: np.ndarray, shards: int, seed: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """shards x sources: multinomial draws per shard, moved within shards until columns add to ``totals``; shards of ``sizes``, or alike."""
     rng = np.random.default_rng(seed)
     total = int(totals.sum())
-    sizes = np.full(shards, total // shards, dtype=np.int64)
-    sizes[: total % shards] += 1
+    if sizes is None:
+        sizes = np.full(shards, total // shards, dtype=np.int64)
+        sizes[: total % shards] += 1
     if total == 0:
         return np.zeros((shards, len(totals)), dtype=np.int64)
     counts = rng.multinomial(sizes, totals / total)
@@ -106,21 +109,66 @@ def mix_report(rows: DataFrame, targets: DataFrame, *, mode: str = "sft_mode", d
     )
 
 
-def plan_shards(report: list, seed: int, slots_per_shard: int) -> list:
-    """Cells of (mix, source, shard, first ordinal of the source, count, first slot, source rows, key)."""
-    cells = []
+def mix_totals(report: list, seed: int) -> list[tuple]:
+    """(mix, sources, rows of each to draw, rows of each there are, permutation keys): one row per mix."""
+    out = []
     for m, mix in enumerate(sorted({r.mix_name for r in report})):
         own = sorted((r for r in report if r.mix_name == mix), key=lambda r: r.source_key or "")
         total = int(round(own[0].size_ratio * own[0].pool_rows))
         totals = np.minimum(exact_totals(np.array([r.target_share for r in own]), total), np.array([r.cap for r in own]))
-        shards = max(1, min(MAX_SHARDS, -(-int(totals.sum()) // slots_per_shard)))
-        counts = shard_counts(totals, shards, seed * 1000 + m)
-        first = np.cumsum(counts, axis=0) - counts
-        place = np.cumsum(counts, axis=1) - counts
-        base = np.cumsum(counts.sum(axis=1)) - counts.sum(axis=1)
-        for k, r in enumerate(own):
-            cells += [(mix, r.source_key, int(s), int(first[s, k]), int(counts[s, k]), int(base[s] + place[s, k]), int(r.source_rows), (seed * 1_000_003 + m * 4099 + k) & 0x7FFFFFFF) for s in np.nonzero(counts[:, k])[0]]
-    return cells
+        keys = [(seed * 1_000_003 + m * 4099 + k) & 0x7FFFFFFF for k in range(len(own))]
+        out.append((mix, [r.source_key or "" for r in own], totals.tolist(), [int(r.source_rows) for r in own], keys, seed * 1000 + m))
+    return out
+
+
+def plan_cells(spark, totals: list[tuple], slots_per_shard: int) -> DataFrame:
+    """Cells of (mix, source, shard, first ordinal of the source, count, first slot, source rows, key), planned by executors.
+
+    A mix is cut into at most GROUPS groups of shards by one task, and each group into its shards by another,
+    so neither the driver nor a task holds the counts of all shards of a mix.
+    """
+    base = "mix_name string, source_key array<string>, totals array<bigint>, n array<bigint>, key array<bigint>, seed bigint"
+    group = "mix_name string, source_key array<string>, totals array<bigint>, n array<bigint>, key array<bigint>, seed bigint, first array<bigint>, place bigint, shard bigint, shards bigint"
+
+    def sized(total: int) -> np.ndarray:
+        shards = max(1, -(-total // slots_per_shard))
+        return np.full(shards, total // shards, dtype=np.int64) + (np.arange(shards) < total % shards)
+
+    def cut_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                totals = np.array(r.totals, dtype=np.int64)
+                size = sized(int(totals.sum()))
+                edges = np.linspace(0, len(size), min(GROUPS, len(size)) + 1).astype(np.int64)
+                per = np.add.reduceat(size, edges[:-1])
+                counts = shard_counts(totals, len(per), r.seed, per)
+                first, place = np.cumsum(counts, axis=0) - counts, np.cumsum(per) - per
+                yield pd.DataFrame(
+                    {
+                        "mix_name": r.mix_name, "source_key": [r.source_key] * len(per), "totals": list(counts), "n": [r.n] * len(per), "key": [r.key] * len(per),
+                        "seed": r.seed * 8191 + 1 + np.arange(len(per)), "first": list(first), "place": place, "shard": edges[:-1], "shards": np.diff(edges),
+                    }
+                )
+
+    def cut_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                totals = np.array(r.totals, dtype=np.int64)
+                total = int(totals.sum())
+                size = np.full(r.shards, total // r.shards, dtype=np.int64) + (np.arange(r.shards) < total % r.shards)
+                counts = shard_counts(totals, r.shards, r.seed, size)
+                first = np.array(r.first)[None, :] + np.cumsum(counts, axis=0) - counts
+                place = r.place + (np.cumsum(size) - size)[:, None] + np.cumsum(counts, axis=1) - counts
+                s, k = np.nonzero(counts)
+                yield pd.DataFrame(
+                    {
+                        "mix_name": r.mix_name, "source_key": np.array(r.source_key, dtype=object)[k], "shard": r.shard + s, "first": first[s, k], "cnt": counts[s, k],
+                        "place": place[s, k], "n": np.array(r.n, dtype=np.int64)[k], "key": np.array(r.key, dtype=np.int64)[k],
+                    }
+                )
+
+    groups = spark.createDataFrame(totals, base).repartition("mix_name").mapInPandas(cut_groups, group)
+    return groups.repartition("mix_name", "shard").mapInPandas(cut_shards, "mix_name string, source_key string, shard bigint, first bigint, cnt bigint, place bigint, n bigint, key bigint")
 
 
 def slots(cells: DataFrame) -> DataFrame:
@@ -146,9 +194,7 @@ def mix_sources(rows: DataFrame, targets: DataFrame, id_col: str, *, mode: str =
     spark = rows.sparkSession
     report = mix_report(rows, targets, mode=mode, depth=depth, source=source)
     planned = small_rows(report, MAX_TARGET_ROWS, "the table of mix targets")
-    cells = plan_shards(planned, seed, slots_per_shard)
-    schema = "mix_name string, source_key string, shard bigint, first bigint, cnt bigint, place bigint, n bigint, key bigint"
-    chosen = slots(spark.createDataFrame(cells, schema).repartition("mix_name", "shard"))
+    chosen = slots(plan_cells(spark, mix_totals(planned, seed), slots_per_shard).repartition("mix_name", "shard", "source_key"))
     uses = spark.createDataFrame(sorted({(r.mix_name, r[mode], r[depth], r.source_key) for r in planned}, key=str), "mix_name string, __tm string, __td string, __ts string")
     fits = (F.col(mode) == F.col("__tm")) & (F.col("__td").isNull() | (F.col(depth) == F.col("__td"))) & (source_key(F.col(source)) == F.col("__ts"))
     # `uses` is bounded by MAX_TARGET_ROWS
@@ -162,21 +208,34 @@ def mix_sources(rows: DataFrame, targets: DataFrame, id_col: str, *, mode: str =
     return mix, full.withColumn("share_reached", F.coalesce(F.try_divide(F.col("rows_given"), reached), F.lit(0.0)))
 
 
-def pack_blocks(rows: DataFrame, text_col: str, id_col: str, keys: list[str], block_words: int = 2048, seed: int = 42) -> DataFrame:
-    """Pack the words of each group's texts, in random order, into blocks of ``block_words``.
+def token_blocks(pieces: DataFrame, keys: list[str], block_words: int) -> DataFrame:
+    """(keys, block_no, block_id) of the full blocks of ``pack_blocks``: the pool of a mix whose rows are blocks; a group's last, shorter block is left out."""
+    full = pieces.groupBy(*keys, "block_no").agg(F.sum("n_words").alias("__n")).filter(F.col("__n") == block_words).drop("__n")
+    return full.withColumn("block_id", F.xxhash64(*keys, "block_no"))
+
+
+def pack_blocks(rows: DataFrame, text_col: str, id_col: str, keys: list[str], block_words: int = 2048, seed: int = 42, size: Column | None = None) -> DataFrame:
+    """Pack the words of each group's texts, in random order, into blocks of ``block_words``; or tokens, whose number ``size`` gives.
 
     Returns (keys, id, block_no, from_word, n_words): the pieces of each block. Word offsets are prefix
     sums within hash ranges, shifted by the ranges before them; null and empty texts have no words and no piece.
+    Null keys form a group of their own.
     """
     from framewright.operators.indexing import hash_order
 
-    w = rows.select(*keys, id_col, F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+"), F.lit(0))).cast("bigint").alias("__w")).filter("__w > 0")
+    words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+"), F.lit(0)))
+    w = rows.select(*keys, id_col, (words if size is None else F.coalesce(size, F.lit(0))).cast("bigint").alias("__w")).filter("__w > 0")
     w = w.withColumn("__h", hash_order(seed, [id_col])).withColumn("__b", F.shiftright("__h", 53))
     sums = w.groupBy(*keys, "__b").agg(F.sum("__w").alias("__t"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
     inside = Window.partitionBy(*keys, "__b").orderBy("__h", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = w.withColumn("__p", F.coalesce(F.sum("__w").over(inside), F.lit(0))).join(sums, [*keys, "__b"])
+    placed = w.withColumn("__p", F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+    renamed = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__sb"), "__o")
+    same = F.col("__b") == F.col("__sb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    placed = placed.join(renamed, same)
     start = F.col("__o") + F.col("__p")
     blocks = F.sequence((start / block_words).cast("bigint"), ((start + F.col("__w") - 1) / block_words).cast("bigint"))
     pieces = placed.select(*keys, id_col, "__w", start.alias("__start"), F.explode(blocks).alias("block_no"))

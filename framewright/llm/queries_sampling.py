@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framewright.llm import mixing, proportions
 from framewright.plans.dialect import trim_ws
 from framewright.plans.registry import Registry
-from framewright.session import table
+from framewright.session import cut, table
 
 R = Registry()
 
@@ -24,7 +24,8 @@ def _mix(spark, d):
 
 @R.query("p2_found", f"SELECT mix_name, source_subset FROM ({POOL}) WHERE max_repeats * source_rows < target_share * size_ratio * pool_rows")
 def p2_found(spark, d):
-    return _mix(spark, d)[1].filter("out_of_reach AND rows_given <= cap").select("mix_name", "source_subset")
+    # every row of the source is used as often as it may be, and what the mix holds of it falls short all the same
+    return _mix(spark, d)[1].filter("rows_given = source_rows * max_repeats AND rows_given < wanted").select("mix_name", "source_subset")
 
 
 @R.query("p2_mix")
@@ -43,6 +44,27 @@ def p2_blocks(spark, d):
     return mixing.pack_blocks(rows, "output", "export_id", ["sft_mode", "source_key"])
 
 
+#: Tokens of a block, and the texts' vocabulary.
+BLOCK_TOKENS = 1024
+
+
+def _block_mix(spark, d):
+    """Mixes of blocks of BLOCK_TOKENS tokens, packed within a mode, depth and source."""
+    from framewright.llm import tokenizer
+
+    keys = ["sft_mode", "reasoning_depth", "source_subset"]
+    rows = table(spark, d, "sft_export").select("export_id", "output", "sft_mode", "reasoning_depth", mixing.source_key(F.col("source_subset")).alias("source_subset"))
+    sizes = tokenizer.encode_column(rows.select("export_id", "output"), "export_id", "output").select("export_id", F.size("ids").alias("tokens"))
+    sized = cut(rows.drop("output").join(sizes, "export_id"))
+    pieces = mixing.pack_blocks(sized.withColumn("output", F.lit("")), "output", "export_id", keys, BLOCK_TOKENS, size=F.col("tokens"))
+    return mixing.mix_sources(mixing.token_blocks(pieces, keys, BLOCK_TOKENS), table(spark, d, "mix_targets"), "block_id")
+
+
+@R.query("p2_block_shares")
+def p2_block_shares(spark, d):
+    return _block_mix(spark, d)[1].select("mix_name", "source_subset", "target_share", (F.col("rows_given") * BLOCK_TOKENS).alias("tokens_given"), F.round("share_reached", 6).alias("share_reached"))
+
+
 def _counts(name: str, field: str) -> str:
     return f"""SELECT t.plan_name, t.category, t.target_share, t.min_rows, t.sample_fraction,
  (SELECT count(*) FROM {name}) AS table_rows,
@@ -66,7 +88,8 @@ def _samples(spark, d):
 
 @R.query("p3_found", f"SELECT plan_name, category FROM ({COUNTS}) WHERE category_rows < target_share * sample_fraction * table_rows")
 def p3_found(spark, d):
-    return _samples(spark, d)[1].filter("too_few AND drawn <= category_rows").select("plan_name", "category")
+    # the sample holds every row of the category and still falls short
+    return _samples(spark, d)[1].filter("drawn = category_rows AND drawn < wanted").select("plan_name", "category")
 
 
 @R.query("p3_sample")

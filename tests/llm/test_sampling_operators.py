@@ -78,3 +78,48 @@ def test_sample_of_nothing(spark):
     t = spark.createDataFrame([("p", "a", 1.0, 5, 0.5)], PLAN)
     sample, report = proportions.sample_to_targets(df, t, "cat", "row_id")
     assert sample.count() == 0 and [r.too_few for r in report.collect()] == [False]
+
+
+def test_shards_of_a_large_mix_add_up(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    totals = [("m", ["a", "b"], [700, 301], [90, 1000], [5, 6], 11)]
+    cells = mixing.plan_cells(spark, totals, 64).toPandas()
+    assert cells.groupby("source_key").cnt.sum().to_dict() == {"a": 700, "b": 301} and cells.shard.nunique() == 16
+    for _, c in cells.groupby("source_key"):
+        spans = sorted(zip(c["first"], c["cnt"]))
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+    spans = sorted(zip(cells["place"], cells["cnt"]))
+    assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+
+
+def test_out_of_reach_follows_from_the_mix(spark, tmp_path, monkeypatch):
+    from framewright.llm import queries_sampling as Q
+
+    pool(spark).write.parquet(str(tmp_path / "sft_export.parquet"))
+    spark.createDataFrame([("m", "length", None, "a", 0.4, 1, 1.0), ("m", "length", None, "c", 0.6, 1, 1.0)], TARGETS).write.parquet(str(tmp_path / "mix_targets.parquet"))
+    assert [tuple(r) for r in Q.p2_found(spark, str(tmp_path)).collect()] == [("m", "c")]
+    whole = mixing.slots
+    monkeypatch.setattr(mixing, "slots", lambda cells: whole(cells).filter("slot % 2 = 0"))
+    assert Q.p2_found(spark, str(tmp_path)).count() == 0
+
+
+def test_blocks_as_the_rows_of_a_mix(spark):
+    rows = spark.createDataFrame([(i, "length", None, "ab"[i % 2], 30 + i % 50) for i in range(600)], "id int, sft_mode string, reasoning_depth string, source_subset string, tokens int")
+    keys = ["sft_mode", "reasoning_depth", "source_subset"]
+    pieces = mixing.pack_blocks(rows.withColumn("text", F.lit("")), "text", "id", keys, 256, size=F.col("tokens"))
+    blocks = mixing.token_blocks(pieces, keys, 256)
+    assert blocks.count() == sum(sum(30 + i % 50 for i in range(600) if i % 2 == k) // 256 for k in (0, 1)) == blocks.select("block_id").distinct().count()
+    t = spark.createDataFrame([("m", "length", None, "a", 0.75, 2, 1.0), ("m", "length", None, "b", 0.25, 2, 1.0)], TARGETS)
+    _, report = mixing.mix_sources(blocks, t, "block_id")
+    assert {r.source_subset: round(r.share_reached, 1) for r in report.collect()} == {"a": 0.7, "b": 0.3} or all(abs(r.share_reached - r.target_share) < 0.02 for r in report.collect())
+
+
+def test_crossings_are_exact_at_any_length():
+    from types import SimpleNamespace
+
+    n = 3_000_000_001
+    r = SimpleNamespace(plan_name="p", category_key="a", category_rows=n, wanted=n / 3, min_rows=0)
+    _, _, rate, base, _, drawn = proportions.plan_rates([r], 1)[0]
+    assert abs(drawn - n / 3) <= 1
+    at = lambda k: (int(base) + rate * k) // proportions.UNIT
+    assert all(at(k + 1) - at(k) in (0, 1) for k in range(n - 2000, n))
