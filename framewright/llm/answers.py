@@ -151,7 +151,7 @@ def copies_question(s: str, a: list[str], question: list[str], cores: list[str])
     return sum(1 for w in left if len(w) > 1) <= 7
 
 
-def label(s: str, w: list[str], text: str, question: list[str], q_lang: str | None, cores: list[str], model: E.Endings, languages: Languages, kind: str, state: str | None) -> str | None:
+def label(s: str, w: list[str], text: str, question: list[str], q_lang: str | None, cores: list[str], model: E.Endings, languages: Languages, kind: str, state: str | None, limits: frozenset[int]) -> str | None:
     """What a response shows by itself; None for sound ones and refusals. ``kind`` is how it closes, ``state`` what it is as a short answer."""
     if not w or (len(w) <= 3 and " ".join(w) in FILLERS):
         return "empty"
@@ -168,7 +168,7 @@ def label(s: str, w: list[str], text: str, question: list[str], q_lang: str | No
         return "other_language"
     if state == "sound":
         return None
-    return "truncated" if model.cut(s, cores, len(text), kind) else None
+    return "truncated" if model.cut(s, cores, len(text), kind, limits) else None
 
 
 def opening_of(s: str, question: set[str]) -> str:
@@ -289,23 +289,21 @@ def refusal_openings(responses: DataFrame) -> DataFrame:
     return named.join(found.select("cluster"), "cluster").select("opening", F.lit(True).alias("template"))
 
 
-def respond(r, model: E.Endings, languages: Languages) -> list[tuple]:
+def respond(r, model: E.Endings, languages: Languages, limits: dict[str, frozenset[int]]) -> list[tuple]:
     """(id, field, own defect, keys, reaches an answer, prompt) of the responses of a record."""
     question, cores = words_of(r.question), E.option_cores(r.options)
     q_lang, lead = languages.guess((r.question or "").lower())
     if lead < 3.0:
         q_lang = (r.question_lang or "").strip().lower()[:2] or None
-    room = len(r.question or "") + sum(map(len, cores))
     known, prompt = set(question), zlib.crc32(" ".join(question).encode())
     out = []
     for field in FIELDS:
         text = getattr(r, field)
         s = E.plain(text)
-        # a response more than twice its prompt is no copy, so its words need no exact form
-        w = words_of(s) if len(s) <= 200 + 2 * room else s.split()
+        w = words_of(s)
         state = E.short_answer(s, cores) if field == "answer_raw" or len(s) < 120 else None
         kind = E.closing_class(s, cores) if s else "none"
-        defect = label(s, w, text or "", question, q_lang, cores, model, languages, kind, state)
+        defect = label(s, w, text or "", question, q_lang, cores, model, languages, kind, state, limits[field])
         looked = defect not in ("empty", "copies_question")
         out.append((r.id, field, defect, keys_of(s, len(w), known) if looked else [], looked and reaches_answer(s, kind, state), prompt))
     return out
@@ -318,12 +316,13 @@ def answer_defects(raw: DataFrame, id_col: str = "raw_id") -> DataFrame:
     Repeated records are all labelled. Extra columns are ignored; an empty table gives no rows.
     """
     model = truncation_model(raw, "long_cot_raw", "options", id_col)
+    limits = E.limits_of_fields(raw, {f: [F.col(f)] for f in FIELDS})
     rows = [r for r in E.bounded_sample(raw.select("question_lang", "question", "long_cot_raw", id_col), [id_col], LANGUAGE_ROWS).collect() if r.question_lang and r.question]
     languages = Languages([(r.question_lang.strip().lower()[:2], f"{r.question} {(r.long_cot_raw or '')[:300]}") for r in rows])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [x for r in b.itertuples(index=False) for x in respond(r, model, languages)]
+            out = [x for r in b.itertuples(index=False) for x in respond(r, model, languages, limits)]
             yield pd.DataFrame(out, columns=["id", "answer_field", "defect", "keys", "answered", "prompt"])
 
     seen = raw.select(F.col(id_col).cast("bigint").alias("id"), "question", "options", "question_lang", *FIELDS)

@@ -19,10 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 1 << 14
+#: Share of the artificial cuts that are made at a limit of the field, where it has one.
+AT_LIMIT = 0.6
 #: Labelled rows the classifier is fitted on; every row is scored.
 TRAIN_ROWS = 4000
 #: A length is a limit if this share of all values has exactly it.
 LIMIT_SHARE = 0.003
+#: Lengths on either side that a limit stands out from.
+NEAR_LENGTHS = 10
 
 _MARKUP = re.compile(r"</?[A-Za-z_]{1,20}\s*>")
 _LETTER = re.compile(r"[(\[]?([A-Ja-j])[)\].:]?")
@@ -124,24 +128,40 @@ class Endings:
     def __init__(self, weights: np.ndarray, bias: float, limits: frozenset[int]) -> None:
         self.by_slot, self.bias, self.limits = weights.tolist(), bias, limits
 
-    def score(self, s: str, cores: list[str], length: int, kind: str | None = None) -> float:
-        """Probability that the text was cut; 0 for an empty text."""
+    def score(self, s: str, cores: list[str], length: int, kind: str | None = None, limits: frozenset[int] | None = None) -> float:
+        """Probability that the text was cut; 0 for an empty text. ``limits`` are those of its own field, the fitted field's by default."""
         if not s:
             return 0.0
-        at, w = features(s, cores, length in self.limits, kind), self.by_slot
+        at, w = features(s, cores, length in (self.limits if limits is None else limits), kind), self.by_slot
         z = self.bias + sum([w[i] for i in at])
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def cut(self, s: str, cores: list[str], length: int, kind: str | None = None) -> bool:
-        return self.score(s, cores, length, kind) > 0.5
+    def cut(self, s: str, cores: list[str], length: int, kind: str | None = None, limits: frozenset[int] | None = None) -> bool:
+        return self.score(s, cores, length, kind, limits) > 0.5
 
 
 def field_limits(df: DataFrame, texts: Sequence[Column]) -> frozenset[int]:
-    """Lengths in characters at which an unusual share of all values lies: at most 1 / LIMIT_SHARE of them."""
-    sizes = df.select(F.explode(F.array(*[F.length(t) for t in texts])).alias("n")).filter("n >= 200")
-    counts = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-    total = sizes.count()
-    return frozenset(r.n for r in counts.filter(F.col("c") > max(3.0, LIMIT_SHARE * total)).collect())
+    """Lengths in characters at which an unusual share of the values of a field lies: at most 1 / LIMIT_SHARE of them.
+
+    A limit has far more values than the lengths around it; short fields have many values at every length.
+    """
+    return limits_of_fields(df, {"": texts})[""]
+
+
+def limits_of_fields(df: DataFrame, fields: dict[str, Sequence[Column]]) -> dict[str, frozenset[int]]:
+    """``field_limits`` of several fields in one pass; only lengths that stand out come back."""
+    cells = F.array(*[F.struct(F.lit(f).alias("f"), F.length(t).alias("n")) for f, ts in fields.items() for t in ts])
+    counts = df.select(F.inline(cells)).filter("n > 0").groupBy("f", "n").agg(F.count(F.lit(1)).alias("c"))
+    # lengths per field are few beside the rows; neighbours lie in one range of lengths
+    near = counts.select("f", "c", F.col("n").alias("m"), F.explode(F.sequence(F.col("n") - NEAR_LENGTHS, F.col("n") + NEAR_LENGTHS)).alias("n")).filter("n <> m")
+    around = near.groupBy("f", "n").agg((F.sum("c") / (2 * NEAR_LENGTHS)).alias("around"))
+    whole = counts.groupBy("f").agg(F.sum("c").alias("total"))
+    j = counts.join(whole, "f").join(around, ["f", "n"], "left")
+    stands_out = (F.col("c") > F.greatest(F.lit(3.0), LIMIT_SHARE * F.col("total"))) & (F.col("c") > 3 * F.coalesce("around", F.lit(0.0)))
+    out: dict[str, set[int]] = {f: set() for f in fields}
+    for r in j.filter(stands_out).select("f", "n").collect():
+        out[r.f].add(r.n)
+    return {f: frozenset(v) for f, v in out.items()}
 
 
 def _intact(s: str, cores: list[str]) -> bool:
@@ -152,7 +172,7 @@ def fit_endings(samples: list[tuple[str, list[str]]], limits: frozenset[int], se
     """Fit on (text, option cores) pairs: intact ones as they are, and copies cut inside a word or sentence."""
     rng = random.Random(seed)
     rows, labels = [], []
-    pile = sorted(limits) or [0]
+    pile = sorted(limits)
     for text, cores in samples:
         s = plain(text)
         if len(s) < 40:
@@ -165,10 +185,13 @@ def fit_endings(samples: list[tuple[str, list[str]]], limits: frozenset[int], se
         rows.append(features(s, cores, len(text) in limits))
         labels.append(0)
         for _ in range(2):
-            short = s[: rng.randint(len(s) // 4, len(s) - 2)].rstrip()
+            # at a limit of the field where the text is long enough, else anywhere
+            fits = [n for n in pile if len(s) // 4 <= n <= len(text) - 2]
+            raw = text[: rng.choice(fits)] if fits and rng.random() < AT_LIMIT else s[: rng.randint(len(s) // 4, len(s) - 2)]
+            short = plain(raw)
             if short and short[-1] not in _STOPS and closing_class(short, cores) not in ("stop", "option", "option_closed"):
                 ends = short + rng.choice(("…", "...", " [...]", "\ufffd")) if rng.random() < 0.08 else short
-                rows.append(features(ends, cores, rng.random() < 0.6 and pile[0] > 0))
+                rows.append(features(ends, cores, len(raw) in limits))
                 labels.append(1)
     w, b = np.zeros(SIZE), 0.0
     if not rows:

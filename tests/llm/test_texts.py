@@ -201,3 +201,22 @@ def test_distinct_share_of_the_whole_text():
         want = sum(len(set(p)) / max(1, len(p)) for p in parts) / len(parts)
         assert quality.distinct_share(words) == pytest.approx(want)
         assert not words or quality.describe(" ".join(words))[2][at] == pytest.approx(want)
+
+
+def test_copies_of_long_questions(spark):
+    rows = raw_rows(spark)
+    for k, q in enumerate(["Why does it move?", "Why does the potter in the grey coat move the pan near the stall after the farmer has turned the old drum by the gate " * 2 + "?", "What is seen while " + "the usher waits and " * 60 + "the rain falls?"]):
+        rows += [(800 + 10 * k + n, q, OPTIONS, "A", " ".join([q] * (n + 1)), "A", "A", "en", "s") for n in range(3)]
+    got = {r.raw_id: r.defect for r in answers.answer_defects(spark.createDataFrame(rows, RAW)).filter("answer_field = 'answer_raw' AND raw_id >= 800").collect()}
+    assert set(got.values()) == {"copies_question"} and len(got) == 9
+
+
+def test_limits_of_short_fields_and_scores(spark):
+    rows = raw_rows(spark, 400)
+    short = [(1000 + i, r[1], OPTIONS, "A", "A", "A", r[6][:96], "en", "s") for i, r in enumerate(rows[:40])]
+    df = spark.createDataFrame(rows + short, RAW)
+    assert 96 in endings.field_limits(df, [F.col("long_cot_raw")])
+    export = spark.createDataFrame([(1, "<COT>x", "q", "COT", "s"), (2, "<ANSWER>A</ANSWER>", "q", "ANSWER", "s")], "export_id bigint, output string, instruction string, reasoning_depth string, source_subset string")
+    got = {(r.table_name, r.rec_id): r for r in truncation.truncated_records(df, export).collect()}
+    assert all(0.0 <= r.score <= 1.0 and r.is_cut == (r.score > 0.5) for r in got.values()) and got["sft_export", 1].score == 1.0 and got["sft_export", 2].score == 0.0
+    assert sum(got["sft_raw", 1000 + i].is_cut for i in range(40)) >= 36
