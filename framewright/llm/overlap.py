@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.paths import clip_key
 from framewright.llm.chunking import chunk_texts, mix64, word_bits, word_digests
+from framewright.llm.clips import clip_key
 from framewright.session import cut
 
 COUNTER_BITS = 16

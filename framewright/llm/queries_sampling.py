@@ -102,7 +102,12 @@ def p3_shares(spark, d):
     return _samples(spark, d)[1].select("plan_name", "category", "table_rows", "category_rows", "too_few")
 
 
-@R.query("p2_report")
+_GIVEN = f"""SELECT *, least(part + CASE WHEN row_number() OVER (PARTITION BY mix_name ORDER BY -(raw - part), lower({trim_ws('source_subset')})) <= missing THEN 1 ELSE 0 END, max_repeats * source_rows) AS given
+ FROM (SELECT *, round_even(sum(raw) OVER w, 0) - sum(part) OVER w AS missing FROM (SELECT *, floor(raw + 1e-9::DOUBLE) AS part FROM (SELECT *, target_share * round_even(size_ratio * pool_rows, 0) AS raw FROM ({POOL}))) WINDOW w AS (PARTITION BY mix_name))"""
+
+
+@R.query("p2_report", f"""SELECT mix_name, source_subset, target_share, CAST(given AS BIGINT) AS rows_given, round(coalesce(given / nullif(sum(given) OVER (PARTITION BY mix_name), 0), 0.0), 6) AS share_reached,
+ max_repeats * source_rows < target_share * size_ratio * pool_rows AS out_of_reach FROM ({_GIVEN})""")
 def p2_report(spark, d):
     return _mix(spark, d)[1].select("mix_name", "source_subset", "target_share", "rows_given", F.round("share_reached", 6).alias("share_reached"), "out_of_reach")
 
