@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Values written in an id field to say that there is none (fixed values).
-MISSING_IDS = ["", "-", "--", "0", "?", "n/a", "na", "nan", "nil", "none", "null", "tbd", "undefined", "unknown"]
-
 # Characters that count as white space (fixed values).
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -17,28 +14,6 @@ def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def real_id(c: Column) -> Column:
-    """The id without outer blanks, or NULL if it is null, blank or a stand-in for a missing id."""
-    t = trim_ws(c)
-    return F.when(~F.lower(t).isin(MISSING_IDS), t)
-
-
-def clip_key(c: Column) -> Column:
-    """One spelling for a clip: ``dataset/directory/file.suffix`` in lower case.
-
-    Undoes back slashes, percent codes, scheme and host, download prefix, query string, empty and dot
-    parts and letter case; the last three parts name the clip. NULL for null, blank and stand-in values.
-    """
-    t = F.translate(trim_ws(c), "\\", "/")
-    t = F.replace(F.substring_index(F.substring_index(t, "?", 1), "#", 1), F.lit("+"), F.lit("%2B"))
-    t = F.lower(F.coalesce(F.try_url_decode(t), t))
-    # every step uses the one before it once: a repeated use would repeat the work per row
-    t = F.regexp_replace(t, r"^[a-z][^/]*://[^/]*/", "")
-    t = F.regexp_replace(t, r"(?:^|/)\s*(?:\.{0,2}\s*/)+", "/")
-    key = F.regexp_extract(t, r"(?:[^/]+/){0,2}[^/]+$", 0)
-    return F.when(~F.lower(trim_ws(c)).isin(MISSING_IDS), F.nullif(key, F.lit("")))
-
-
 def path_parts(c: Column) -> Column:
     """Parts of a slash-separated path without empty and dot parts."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), "/"), lambda p: ~p.isin("", ".", ".."))

@@ -11,12 +11,6 @@ def one(values, fn, *texts):
     return values([(t,) for t in texts], "x string", fn)
 
 
-def test_clip_key_undoes_spellings(values):
-    same = ["Set/raw/a b.MP4", "./Set/raw/a%20b.mp4", "../SET//raw/./a b.mp4\t", "Set\\raw\\a b.mp4", "https://h.example/resolve/main/Set/raw/a%20b.mp4?download=1", "/Set/raw/a b.mp4"]
-    assert set(one(values, P.clip_key(C), *same)) == {"set/raw/a b.mp4"}
-    assert one(values, P.clip_key(C), None, "", " ", "N/A", "unknown", "none", "/", "x.mp4", "100%/a%zz.mp4") == [None, None, None, None, None, None, None, "x.mp4", "100%/a%zz.mp4"]
-
-
 def test_stems_and_keys(values):
     assert one(values, P.safe_stem(C), "é tè/st—1_", "___", None) == ["é_tè_st_1", "sample", "sample"]
     assert one(values, P.frame_key(C), "./a/../b c.mp4", "", None) == ["a__b_c", "sample", "sample"]
