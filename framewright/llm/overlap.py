@@ -10,8 +10,7 @@ the overlap, meet all chunks of the other record, as a lead-in may be rarer than
 Any fixed order of the chunks makes this exact; a table of 2**16 counters over all records gives an order
 that keeps common phrases out of the join, and tells hot chunks, whose rows are spread over SALTS keys.
 A lead-in also changes the first and the last chunk of a question; where the chunks between them are too
-short, its words count as chunks as well. A bit map of the keys of the evaluation side drops training keys that
-meet nothing before they are shuffled; it is of bounded size, and a full map only drops fewer.
+short, its words count as chunks as well.
 """
 
 from __future__ import annotations
@@ -36,8 +35,6 @@ MASK_BITS = 3
 MARK_BITS = 20
 #: Keys a hot chunk is spread over, and the share of all chunks that makes one hot.
 SALTS, HOT_SHARE = 16, 1 / 2048
-#: Bits of the map of evaluation keys: so many per text, at most.
-KEY_BITS_PER_TEXT, MAX_KEY_BITS = 128, 26
 _CLIP, _WORDS_APART, _LONGER, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)
 
 _OPTIONS = re.compile(r"(?is)(?:^|\s)(?:answer\s+)?(?:options?|choices?)\s*[:：].*$|\n\s*\(?A\)?\s*[.):]?\s.*$")
@@ -202,40 +199,17 @@ def _keys(b: pd.DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: flo
     return o, k ^ salt * _SALT, own
 
 
-def key_map(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, bits: int) -> np.ndarray:
-    """Bit map of the keys of the evaluation side, as 2**bits / 64 words of 64 bits."""
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(1 << (bits - 6), dtype=np.uint64)
-        for b in batches:
-            _, k, _ = _keys(b, counters, marks, overlap, left=False)
-            k = k >> np.uint64(64 - bits)
-            np.bitwise_or.at(seen, (k >> np.uint64(6)).astype(np.int64), np.uint64(1) << (k & np.uint64(63)))
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"cell": at, "v": seen[at].view(np.int64)})
-
-    got = texts.mapInPandas(fill, "cell bigint, v bigint").groupBy("cell").agg(F.bit_or("v").alias("v")).toPandas()
-    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[got["cell"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out
-
-
-def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool, known=None) -> DataFrame:
+def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool) -> DataFrame:
     """(k, t, own, bits, words): keys of each text. ``own`` are its rarest chunks, until the rest fall short of
     ``overlap`` of its length, and the words by which a thin text joins; other keys only meet own ones.
 
     ``k`` joins equal chunks on one clip; ``bits`` and ``words`` describe the text's words. Other keys of the
     left side carry a mark in ``k``, and own keys of the right side come with and without it, so that two other keys never meet.
-    ``known`` is a broadcast map of the keys on the other side.
     """
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             o, k, own = _keys(b, counters, marks, overlap, left)
-            if known is not None:
-                place = k >> np.uint64(64 - int(known.value[0]))
-                met = (known.value[1][(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
-                o, k, own = o[met], k[met], own[met]
             bits, words = word_bits([t.encode() for t in b["text"]])
             yield pd.DataFrame({"k": k.view(np.int64), "t": b["t"].to_numpy()[o], "own": own, "bits": bits[o], "words": words[o].astype(np.int16)})
 
@@ -285,10 +259,7 @@ def question_links(rows: DataFrame, id_col: str = "row_id", video: str = "video_
     texts = asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"))
     counters, marks = chunk_counters(asks, overlap)
     left, right = texts.filter("in_train").select("t", "clip", "text"), texts.filter("in_eval").select("t", "clip", "text")
-    n = asks.filter("NOT in_train").count()
-    bits = min(MAX_KEY_BITS, max(16, int(n * KEY_BITS_PER_TEXT).bit_length()))
-    known = rows.sparkSession.sparkContext.broadcast((bits, key_map(right, counters, marks, overlap, bits)))
-    a = chunk_keys(left, counters, marks, overlap, True, known)
+    a = chunk_keys(left, counters, marks, overlap, True)
     b = chunk_keys(right, counters, marks, overlap, False)
     near = a.join(b.withColumnsRenamed({"t": "tb", "own": "own_b", "bits": "bits_b", "words": "words_b"}), "k").filter("t <> tb")
     fewer = F.col("words") <= F.col("words_b")

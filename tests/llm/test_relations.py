@@ -167,7 +167,6 @@ def test_report_of_overlaps(spark):
 
 def test_hot_chunks_are_spread_and_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(overlap, "HOT_SHARE", 0.0)
-    monkeypatch.setattr(overlap, "MAX_KEY_BITS", 16)
     rng = random.Random(8)
     who, what = ["potter", "farmer", "usher", "diver"], ["steel funnel", "torn map", "round tray", "soft hose"]
     texts = [f"Which object does the {rng.choice(who)} in the {rng.choice(['red', 'teal', 'navy'])} vest pick up once the {rng.choice(what)} has been moved?" for _ in range(300)]
