@@ -256,8 +256,9 @@ def question_links(rows: DataFrame, id_col: str = "row_id", video: str = "video_
     itself with an overlap of 1. Links are between a class with training rows and one with evaluation rows.
     """
     asks = cut(question_rows(rows, id_col, video, problem, split, train).withColumn("t", F.xxhash64("clip", "text")))
-    texts = asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval"))
-    counters, marks = chunk_counters(asks, overlap)
+    # read several times below, and shuffled once
+    texts = cut(asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval")))
+    counters, marks = chunk_counters(texts, overlap)
     left, right = texts.filter("in_train").select("t", "clip", "text"), texts.filter("in_eval").select("t", "clip", "text")
     a = chunk_keys(left, counters, marks, overlap, True)
     b = chunk_keys(right, counters, marks, overlap, False)
