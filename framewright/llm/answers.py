@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ OPENING_SENTENCES = 4
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 8, 3
 COUNTER_BITS = 16
-#: Last words of the opening of a short response: templates vary in how they begin.
-TAIL_WORDS, SHORT_WORDS = 8, 45
+#: Last words of a sentence that count as a template too, as templates vary in how they begin.
+TAIL_WORDS = 8
 #: Unrelated prompts under which a template recurs, and how many of its responses may reach an answer.
 PROMPTS, ANSWERED = 3, 0.2
 LANGUAGE_ROWS = 4000
@@ -181,17 +182,22 @@ def opening_of(s: str, question: set[str]) -> str:
     return ""
 
 
-def keys_of(s: str, n_words: int, question: set[str]) -> list[str]:
-    """The opening of a response; of a short one also its first sentences and their last words, as templates vary in how they begin."""
+def keys_of(s: str, question: set[str]) -> list[str]:
+    """The opening of a response, its first sentences and their last words, as templates vary in how they begin."""
     keys = [opening_of(s, question)]
-    if n_words <= SHORT_WORDS:
-        for part in _SENTENCE.split(s)[:OPENING_SENTENCES]:
-            w = words_of(part)[:OPENING_WORDS]
-            keys.append(" ".join(w) if len(w) >= 4 else "")
-            keys.append("~ " + " ".join(w[-TAIL_WORDS:]) if TAIL_WORDS <= len(w) < OPENING_WORDS else "")
+    for part in _SENTENCE.split(s, maxsplit=OPENING_SENTENCES)[:OPENING_SENTENCES]:
+        w = words_of(part)[:OPENING_WORDS]
+        keys.append(" ".join(w) if len(w) >= 4 else "")
+        keys.append("~ " + " ".join(w[-TAIL_WORDS:]) if TAIL_WORDS <= len(w) < OPENING_WORDS else "")
     return sorted({k for k in keys if k})
 
 
+def key_hash(key: str) -> int:
+    """``xxhash64`` of the key as the engine computes it."""
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def minhash_bands(openings: DataFrame) -> DataFrame:
     """(band, opening) from hashes of the five-word shingles; shorter openings are one shingle."""
 
@@ -278,10 +284,17 @@ def clusters(openings: DataFrame) -> DataFrame:
 
 
 def refusal_openings(responses: DataFrame) -> DataFrame:
-    """Openings of refusal templates. Answer rates count all responses of an opening, prompts only distinct ones."""
-    r = responses.select("answered", "prompt", F.explode("keys").alias("opening"))
-    counts = r.groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("answered").cast("int")).alias("answers"))
-    open_ended = cut(counts.filter("answers < n"))
+    """Openings of refusal templates. Answer rates count all responses of an opening, prompts those of responses without an answer.
+
+    Responses that reach an answer only count, so hashes of their keys do, in ``seen`` where it is there;
+    an opening that no response leaves without an answer is none.
+    """
+    r = responses.filter("NOT answered").select("prompt", F.explode("keys").alias("opening"))
+    seen = F.col("seen") if "seen" in responses.columns else F.transform("keys", lambda k: F.xxhash64(k))
+    sound = responses.filter("answered").select(F.explode(seen).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("answers"))
+    counts = r.groupBy("opening").agg(F.count(F.lit(1)).alias("m")).withColumn("h", F.xxhash64("opening")).join(sound, "h", "left")
+    counts = counts.select("opening", F.coalesce("answers", F.lit(0)).alias("answers"), (F.col("m") + F.coalesce("answers", F.lit(0))).alias("n"))
+    open_ended = cut(counts)
     named = open_ended.join(clusters(open_ended), "opening")
     prompts = r.join(named.select("opening", "cluster"), "opening").groupBy("cluster").agg(F.countDistinct("prompt").alias("prompts"))
     rates = named.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("answers").alias("answers"))
@@ -290,7 +303,7 @@ def refusal_openings(responses: DataFrame) -> DataFrame:
 
 
 def respond(r, model: E.Endings, languages: Languages, limits: dict[str, frozenset[int]]) -> list[tuple]:
-    """(id, field, own defect, keys, reaches an answer, prompt) of the responses of a record."""
+    """(id, field, own defect, keys, their hashes if it reaches an answer, whether it does, prompt) of the responses of a record."""
     question, cores = words_of(r.question), E.option_cores(r.options)
     q_lang, lead = languages.guess((r.question or "").lower())
     if lead < 3.0:
@@ -305,7 +318,8 @@ def respond(r, model: E.Endings, languages: Languages, limits: dict[str, frozens
         kind = E.closing_class(s, cores) if s else "none"
         defect = label(s, w, text or "", question, q_lang, cores, model, languages, kind, state, limits[field])
         looked = defect not in ("empty", "copies_question")
-        out.append((r.id, field, defect, keys_of(s, len(w), known) if looked else [], looked and reaches_answer(s, kind, state), prompt))
+        keys, answered = keys_of(s, known) if looked else [], looked and reaches_answer(s, kind, state)
+        out.append((r.id, field, defect, [] if answered else keys, [key_hash(k) for k in keys] if answered else [], answered, prompt))
     return out
 
 
@@ -323,10 +337,10 @@ def answer_defects(raw: DataFrame, id_col: str = "raw_id") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [x for r in b.itertuples(index=False) for x in respond(r, model, languages, limits)]
-            yield pd.DataFrame(out, columns=["id", "answer_field", "defect", "keys", "answered", "prompt"])
+            yield pd.DataFrame(out, columns=["id", "answer_field", "defect", "keys", "seen", "answered", "prompt"])
 
     seen = raw.select(F.col(id_col).cast("bigint").alias("id"), "question", "options", "question_lang", *FIELDS)
-    labelled = cut(seen.mapInPandas(run, "id bigint, answer_field string, defect string, keys array<string>, answered boolean, prompt bigint"))
+    labelled = cut(seen.mapInPandas(run, "id bigint, answer_field string, defect string, keys array<string>, seen array<bigint>, answered boolean, prompt bigint"))
     templates = refusal_openings(labelled)
     hits = labelled.filter("NOT answered").select("id", "answer_field", F.explode("keys").alias("opening")).join(templates, "opening")
     refused = hits.groupBy("id", "answer_field").agg(F.first("template").alias("refused"))
