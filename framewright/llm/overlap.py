@@ -33,8 +33,8 @@ from framewright.session import cut
 COUNTER_BITS = 16
 MASK_BITS = 3
 MARK_BITS = 20
-#: Keys a hot chunk is spread over, and the share of all chunks that makes one hot.
-SALTS, HOT_SHARE = 16, 1 / 2048
+#: Keys a hot chunk of one clip is spread over, and the share of all chunks that makes it hot; cells in which such chunks are counted.
+SALTS, HOT_SHARE, HEAT_BITS = 8, 1 / 512, 18
 _CLIP, _WORDS_APART, _LONGER, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93)
 
 _OPTIONS = re.compile(r"(?is)(?:^|\s)(?:answer\s+)?(?:options?|choices?)\s*[:：].*$|\n\s*\(?A\)?\s*[.):]?\s.*$")
@@ -143,30 +143,43 @@ def _mark(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
-def chunk_counters(texts: DataFrame, overlap: float) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk counts of all records in 2**COUNTER_BITS cells, and of the words that join in 2**MARK_BITS cells: tables of fixed size."""
-    cells = 1 << COUNTER_BITS
+def _clip_keys(b: pd.DataFrame, owner: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return digest ^ b["clip"].to_numpy().view(np.uint64)[owner] * _CLIP
+
+
+def _heat_cell(key: np.ndarray) -> np.ndarray:
+    return (mix64(key) >> np.uint64(64 - HEAT_BITS)).astype(np.int64)
+
+
+def chunk_counters(texts: DataFrame, overlap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk counts of all texts in 2**COUNTER_BITS cells, counts of the words that join in 2**MARK_BITS, of a clip's chunks in 2**HEAT_BITS: tables of fixed size."""
+    parts = np.cumsum([0, 1 << COUNTER_BITS, 1 << MARK_BITS, 1 << HEAT_BITS])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(cells + (1 << MARK_BITS), dtype=np.int64)
+        total = np.zeros(parts[-1], dtype=np.int64)
+        cells, marks, heat = (total[a:z] for a, z in zip(parts, parts[1:], strict=False))
         for b in batches:
             owner, digest, length = _chunks(b["text"])
-            total[:cells] += np.bincount((digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=cells)
+            cells += np.bincount((digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(cells))
+            heat += np.bincount(_heat_cell(_clip_keys(b, owner, digest)), minlength=len(heat))
             thin = thin_texts(owner, length, len(b), overlap)
             if thin.any():
                 some = b[thin]
                 _, key, joins = word_keys(some, np.ones(len(some), bool))
-                total[cells:] += np.bincount(_mark(key[joins]), minlength=1 << MARK_BITS)
+                marks += np.bincount(_mark(key[joins]), minlength=len(marks))
+        # what is under half of the share in every task is under it in all; the other half allows for what is left out
+        heat[heat < HOT_SHARE * heat.sum() / 2] = 0
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    out = np.zeros(cells + (1 << MARK_BITS), dtype=np.int64)
-    for r in texts.select("clip", "text").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r.cell] = r.n
-    return out[:cells], out[cells:]
+    got = texts.select("clip", "text").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(parts[-1], dtype=np.int64)
+    out[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
+    cells, marks, heat = (out[a:z] for a, z in zip(parts, parts[1:], strict=False))
+    return cells, marks, heat > HOT_SHARE * cells.sum() / 2
 
 
-def _keys(b: pd.DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keys(b: pd.DataFrame, counters: np.ndarray, marks: np.ndarray, heat: np.ndarray, overlap: float, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, key, own) of all keys under which the texts of a batch join."""
     owner, digest, length = _chunks(b["text"])
     cell = (digest >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
@@ -177,13 +190,13 @@ def _keys(b: pd.DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: flo
     first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
     before = run - np.repeat(run[first], np.diff(np.append(first, len(o))))
     own = whole[o] - before >= overlap * whole[o]
-    k = digest[order] ^ b["clip"].to_numpy().view(np.uint64)[o] * _CLIP
-    hot = counters[cell[order]] > max(64.0, HOT_SHARE * counters.sum())
+    k = _clip_keys(b, o, digest[order])
+    hot = heat[_heat_cell(k)]
     if len(b) and marks.any():
         at, key, joins = word_keys(b, thin_texts(owner, length, len(b), overlap))
         met = marks[_mark(key)]
         hit = met > 0
-        o, k, own, hot = np.concatenate([o, at[hit]]), np.concatenate([k, key[hit]]), np.concatenate([own, joins[hit]]), np.concatenate([hot, met[hit] > 64])
+        o, k, own, hot = np.concatenate([o, at[hit]]), np.concatenate([k, key[hit]]), np.concatenate([own, joins[hit]]), np.concatenate([hot, met[hit] > max(64.0, HOT_SHARE * counters.sum())])
     if left:
         spread = hot & own
         k = np.where(own, k, k ^ _LONGER)
@@ -199,7 +212,7 @@ def _keys(b: pd.DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: flo
     return o, k ^ salt * _SALT, own
 
 
-def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overlap: float, left: bool) -> DataFrame:
+def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, heat: np.ndarray, overlap: float, left: bool) -> DataFrame:
     """(k, t, own, bits, words): keys of each text. ``own`` are its rarest chunks, until the rest fall short of
     ``overlap`` of its length, and the words by which a thin text joins; other keys only meet own ones.
 
@@ -209,7 +222,7 @@ def chunk_keys(texts: DataFrame, counters: np.ndarray, marks: np.ndarray, overla
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            o, k, own = _keys(b, counters, marks, overlap, left)
+            o, k, own = _keys(b, counters, marks, heat, overlap, left)
             bits, words = word_bits([t.encode() for t in b["text"]])
             yield pd.DataFrame({"k": k.view(np.int64), "t": b["t"].to_numpy()[o], "own": own, "bits": bits[o], "words": words[o].astype(np.int16)})
 
@@ -258,10 +271,10 @@ def question_links(rows: DataFrame, id_col: str = "row_id", video: str = "video_
     asks = cut(question_rows(rows, id_col, video, problem, split, train).withColumn("t", F.xxhash64("clip", "text")))
     # read several times below, and shuffled once
     texts = cut(asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval")))
-    counters, marks = chunk_counters(texts, overlap)
+    counters, marks, heat = chunk_counters(texts, overlap)
     left, right = texts.filter("in_train").select("t", "clip", "text"), texts.filter("in_eval").select("t", "clip", "text")
-    a = chunk_keys(left, counters, marks, overlap, True)
-    b = chunk_keys(right, counters, marks, overlap, False)
+    a = chunk_keys(left, counters, marks, heat, overlap, True)
+    b = chunk_keys(right, counters, marks, heat, overlap, False)
     near = a.join(b.withColumnsRenamed({"t": "tb", "own": "own_b", "bits": "bits_b", "words": "words_b"}), "k").filter("t <> tb")
     fewer = F.col("words") <= F.col("words_b")
     near = near.filter((F.col("own") & F.col("own_b")) | F.when(fewer, F.col("own")).otherwise(F.col("own_b")))
