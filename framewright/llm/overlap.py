@@ -268,7 +268,9 @@ def question_links(rows: DataFrame, id_col: str = "row_id", video: str = "video_
     A class is a question in its plain spelling on one clip. A class with rows in both splits is linked to
     itself with an overlap of 1. Links are between a class with training rows and one with evaluation rows.
     """
-    asks = cut(question_rows(rows, id_col, video, problem, split, train).withColumn("t", F.xxhash64("clip", "text")))
+    asks = question_rows(rows, id_col, video, problem, split, train).withColumn("t", F.xxhash64("clip", "text"))
+    # texts are spelt out twice, as keeping them for every row takes more disk than any shuffle here
+    members = cut(asks.select("id", "in_train", "t"))
     # read several times below, and shuffled once
     texts = cut(asks.groupBy("t", "clip", "text").agg(F.max("in_train").alias("in_train"), F.max(~F.col("in_train")).alias("in_eval")))
     counters, marks, heat = chunk_counters(texts, overlap)
@@ -292,7 +294,7 @@ def question_links(rows: DataFrame, id_col: str = "row_id", video: str = "video_
 
     near = near.select("ta", "tb", "a", "b").mapInPandas(verify, "ta bigint, tb bigint, overlap double")
     equal = texts.filter("in_train AND in_eval").select(F.col("t").alias("ta"), F.col("t").alias("tb"), F.lit(1.0).alias("overlap"))
-    return near.unionByName(equal), asks.select("id", "in_train", "t")
+    return near.unionByName(equal), members
 
 
 def cross_split_pairs(rows: DataFrame, id_col: str = "row_id", video: str = "video_id", problem: str = "problem", split: str = "split_name", train: tuple[str, ...] = ("train",), overlap: float = 0.4) -> DataFrame:
