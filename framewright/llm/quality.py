@@ -1,11 +1,11 @@
 """Per-document text quality statistics, and a robust distance from the prose of the document's language.
 
-What is common in a language, and how its letters follow each other, is learnt from a bounded sample of
-labelled rows. Prose has a mean and covariance per language, fitted on all documents by reweighting: start
-from texts without list, table or junk parts, then keep those within a chi-square quantile. Each document
-gets its squared Mahalanobis distance and what each statistic adds to it. The statistics that tell of a
-list, a table or junk form three groups; an outlier is of the kind whose group adds most, if that group
-alone takes it past the quantile. The spread of a share is at least such that half a text does so.
+What is common in a language, and how its letters follow each other, is learnt from all labelled rows.
+Prose has a mean and covariance per language, fitted on all documents by reweighting: start from texts
+without list, table or junk parts, then keep those within a chi-square quantile. Each document gets its
+squared Mahalanobis distance and what each statistic adds to it. The statistics that tell of a list, a
+table or junk form three groups; an outlier is of the kind whose group adds most, if that group alone
+takes it past the quantile. The spread of a share is at least such that half a text does so.
 """
 
 from __future__ import annotations
@@ -19,16 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.endings import bounded_sample
 from framewright.llm.textstats import _WORD, LETTERS, STATS, Wording, describe_all, distinct_shares, letter_pairs
 from framewright.session import cut
 
-#: Rows the common words and letter pairs are learnt from; every document is described and judged.
-WORDING_ROWS = 8000
-#: A word is common if so large a share of the sampled texts of a language hold it; a language needs so many of them.
+#: Words a task counts before it hands its counts on.
+WORDS_HELD = 200_000
+#: A word is common if so large a share of the texts of a language hold it; a language needs so large a share of all.
 COMMON_SHARE, LANGUAGE_SHARE = 0.25, 0.002
-#: Texts that hold a word whose spelling is learnt.
-SPELLING_TEXTS = 3
+#: Texts that hold a word whose spelling is learnt: so many, and so large a share of all.
+SPELLING_TEXTS, SPELLING_SHARE = 3, 3 / 8000
 #: Texts of prose a language needs for a mean of its own; others go by all prose.
 PROSE_TEXTS = 20
 
@@ -71,30 +70,40 @@ def slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int
         at = end
 
 
-def learn_wording(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> Wording:
-    """Common words of each language and letter pairs of all, from at most WORDING_ROWS texts; texts never reach the driver.
+def learn_wording(docs: DataFrame, text_col: str, lang_col: str | None) -> Wording:
+    """Common words of each language and letter pairs of all, from all texts; only what is common reaches the driver.
 
     The label is the first two letters of ``lang_col`` in lower case; rows without one are left out while
     any row has one. Wrong labels do no harm while they are few. A language brings the words that at least
     COMMON_SHARE of its texts hold, so their number is bounded by the length of a text.
     """
     label = F.lower(F.substring(F.trim(F.col(lang_col)), 1, 2)) if lang_col else F.lit("any")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), label.alias("label")).filter(F.col("text").isNotNull())
+    rows = docs.select(F.col(text_col).alias("text"), label.alias("label")).filter(F.col("text").isNotNull())
     if lang_col:
         labelled = rows.filter("label IS NOT NULL AND label <> ''")
         rows = labelled if not labelled.isEmpty() else rows.withColumn("label", F.lit("any"))
-    sample = bounded_sample(rows, [id_col], WORDING_ROWS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Counter] = {}
+
+        def counts() -> pd.DataFrame:
+            out = pd.DataFrame([(lang, w, n) for lang, c in held.items() for w, n in c.items()], columns=["label", "word", "n"])
+            held.clear()
+            return out
+
         for b in batches:
-            held: dict[str, Counter] = {}
-            for lang, t in zip(b["label"], b["text"], strict=True):
-                c = held.setdefault(lang, Counter())
-                c.update(set(_WORD.findall(t.lower())))
-                c[""] += 1
-            yield pd.DataFrame([(lang, w, n) for lang, c in held.items() for w, n in c.items()], columns=["label", "word", "n"])
-
-    met = cut(sample.mapInPandas(count, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n")))
+            texts = b["text"].tolist()
+            labels = b["label"].tolist()
+            for a, z in slices(texts):
+                for lang, t in zip(labels[a:z], texts[a:z], strict=True):
+                    c = held.setdefault(lang, Counter())
+                    c.update(set(_WORD.findall(t.lower())))
+                    c[""] += 1
+                if sum(map(len, held.values())) > WORDS_HELD:
+                    yield counts()
+        yield counts()
+
+    met = cut(rows.mapInPandas(count, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n")))
     texts = {r.label: r.n for r in met.filter("word = ''").select("label", "n").collect()}
     known = {k: n for k, n in texts.items() if n >= max(PROSE_TEXTS, LANGUAGE_SHARE * sum(texts.values()))} or texts
     common: dict[str, list[str]] = {k: [] for k in known}
@@ -110,7 +119,8 @@ def learn_wording(docs: DataFrame, id_col: str, text_col: str, lang_col: str | N
             yield pd.DataFrame({"x": pair >> 32, "y": pair & 0xFFFFFFFF, "n": times})
 
     # words of one text only, such as random letters, teach no spelling; of a word all texts count as one
-    words = met.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= SPELLING_TEXTS).select("word")
+    enough = max(SPELLING_TEXTS, SPELLING_SHARE * sum(texts.values()))
+    words = met.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= enough).select("word")
     pairs = cut(words.mapInPandas(spell, "x bigint, y bigint, n bigint").groupBy("x", "y").agg(F.sum("n").alias("n")))
     letters = pairs.groupBy("x").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "x").limit(LETTERS).select("x")
     kept = pairs.join(F.broadcast(letters), "x").join(F.broadcast(letters.withColumnRenamed("x", "y")), "y")
@@ -123,7 +133,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The language is the one whose common words fill most of the text, whatever its label; "other" if none do.
     """
     lang_col = lang_col if lang_col in docs.columns else None
-    wording = docs.sparkSession.sparkContext.broadcast(learn_wording(docs, id_col, text_col, lang_col))
+    wording = docs.sparkSession.sparkContext.broadcast(learn_wording(docs, text_col, lang_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -96,3 +96,15 @@ def test_labels_of_any_spelling_and_none(spark):
     df = frame(spark, [], 60, "EN-us").unionByName(frame(spark, [], 3, "xx"))  # too few texts for a language
     assert {r.language for r in quality.document_kinds(df).collect()} == {"en"}
     assert {r.language for r in quality.document_kinds(df.drop("lang")).collect()} == {"any"}
+
+
+def test_wording_is_learnt_from_all_texts(spark):
+    # of 40 words each, one half is held by a few texts more than a quarter of 20,000, the other by a few less
+    texts = [(i, " ".join(f"{a}{b}{c}" for k in range(40) for a, b, c in [("xy"[k % 2], "abcdefghij"[k // 4], "mn"[k // 2 % 2])] if (i + 37 * k) % 2000 < 501 - 2 * (k % 2)), "en") for i in range(20_000)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").repartition(6)
+    got = quality.learn_wording(df, "text", "lang")
+    assert sorted(got.place) == sorted(f"x{b}{c}" for b in "abcdefghij" for c in "mn")
+    # a word of one text in 10,000 teaches no spelling, however many texts that is
+    rare = df.unionByName(spark.createDataFrame([(k, "zq", "en") for k in range(30_000, 30_004)], df.schema))
+    got = quality.learn_wording(rare, "text", "lang")
+    assert ord("q") not in got.letters.tolist() and ord("x") in got.letters.tolist()
