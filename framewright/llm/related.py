@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +19,10 @@ from framewright.session import cut, small_rows
 
 MAX_ROUNDS = 60
 MAX_SIZES = 2_000_000
-#: Totals a bit set covers, and larger sizes tried for an exchange where it leaves a gap.
+#: Totals that the first bit set covers, and larger sizes tried for an exchange where it misses.
 BITSET_BITS = 1 << 22
 EXCHANGES = 200
+_TURNED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -75,31 +75,35 @@ def related_groups(rows: DataFrame, id_col: str = "row_id", video: str = "video_
     return keyed.select(id_col, "comp").join(stats, "comp").select(id_col, "comp", "group_rows", "group_key").unionByName(alone)
 
 
-def _reach(bundles: list[int], bits: int, goal: int = -1) -> tuple[int, np.ndarray]:
-    """Totals under ``bits`` that bundles reach, as a bit set, and for each the bundle that reached it first; done once ``goal`` or all is reached."""
-    mask = (1 << bits) - 1
-    reach, first = 1, np.full(bits, -1, dtype=np.int32)
-    for i, w in enumerate(bundles):
-        new = (reach << w) & mask & ~reach
-        if new:
-            reach |= new
-            low = (new & -new).bit_length() - 1
-            raw = np.frombuffer((new >> low).to_bytes((new.bit_length() - low + 7) // 8, "little"), dtype=np.uint8)
-            first[low + np.flatnonzero(np.unpackbits(raw, bitorder="little"))] = i
-            if goal >= 0 and new >> goal & 1:
-                break
-        elif reach == mask:
-            break
-    return reach, first
-
-
-def _closest(reach: int, goal: int) -> int:
-    """The reached total closest to ``goal``, the smaller of two; goals below 0 give 0."""
-    goal = max(0, goal)
-    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    above = reach >> goal
-    hi = goal + (above & -above).bit_length() - 1 if above else below
-    return hi if hi - goal < goal - below else below
+def _reach(bundles: list[tuple[int, int]], bits: int, goal: int | None = None) -> tuple[int, int]:
+    """Totals under ``bits`` that bundles (size, groups) reach, as a bit set, and the bundles used; done once ``goal`` is reached."""
+    mask, reach = (1 << bits) - 1, 1
+    for i, (size, n) in enumerate(bundles):
+        if goal is not None and reach >> goal & 1:
+            return reach, i
+        if size * n < bits:
+            reach |= (reach << size * n) & mask
+    return reach, len(bundles)
+
+
+def _pick(bundles: list[tuple[int, int]], total: int) -> dict[int, int]:
+    """Groups of each size that make ``total``, which the bundles reach: what each half brings, from bit sets of both."""
+    if not total:
+        return {}
+    if len(bundles) == 1:
+        return dict(bundles)
+    halves = bundles[: len(bundles) // 2], bundles[len(bundles) // 2 :]
+    low, high = (_reach(h, total + 1)[0] for h in halves)
+    size = total // 8 + 1
+    # bit k of the turned set says that the other half makes total - k
+    turned = int.from_bytes(high.to_bytes(size, "little").translate(_TURNED)[::-1], "little") >> (8 * size - 1 - total)
+    both = low & turned
+    del low, high, turned
+    at = (both & -both).bit_length() - 1
+    taken = _pick(halves[0], at)
+    for s, n in _pick(halves[1], total - at).items():
+        taken[s] = taken.get(s, 0) + n
+    return taken
 
 
 def _bundled(sizes: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,69 +118,101 @@ def _bundled(sizes: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _direct_fill(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
-    # nothing taken is as near as twice the target
-    bits = 2 * target + 2
-    bundles = _bundled([(s, min(m, bits // s)) for s, m in sizes if s < bits])
-    reach, first = _reach([s * n for s, n in bundles], bits, target)
-    at, taken = _closest(reach, target), {}
-    while at:
-        size, n = bundles[first[at]]
-        taken[size] = taken.get(size, 0) + n
-        at -= size * n
-    return taken
+def _from_top(sizes: list[tuple[int, int]], rest: int) -> tuple[dict[int, int], int]:
+    """Groups taken from the largest size down while they fit in ``rest``, and what is left of it."""
+    taken = {}
+    for size, many in reversed(sizes):
+        taken[size] = min(many, max(0, rest) // size)
+        rest -= taken[size] * size
+    return taken, rest
+
+
+def _varied(sizes: list[int], unit: int) -> list[int]:
+    """EXCHANGES sizes, those of rests not met yet before others, as the small groups close gaps of whole units; small ones first."""
+    met: dict[int, int] = {}
+    ranked = []
+    for s in sorted(sizes):
+        met[s % unit] = met.get(s % unit, 0) + 1
+        ranked.append((met[s % unit], s))
+    return [s for _, s in sorted(ranked)[:EXCHANGES]]
+
+
+def _meet(sizes: list[tuple[int, int]], goal: int, room: int) -> dict[int, int] | None:
+    """Groups of exactly ``goal`` rows, or None if none are found by choosing freely among the smallest ones, of ``room`` rows together."""
+    small, large = [], []
+    for size, many in sizes:
+        n = min(many, room // size)
+        room = room - n * size if n == many else 0
+        small += [(size, n)] * (n > 0)
+        large += [(size, many - n)] * (many > n)
+    most = sum(s * n for s, n in small)
+    # half of the small groups' rows is where their totals lie closest
+    taken, rest = _from_top(large, goal - most // 2)
+    rest += most // 2
+    bundles = _bundled(small)
+    reach, used = _reach(bundles, most + 1, min(rest, most + 1))
+    held = reach.to_bytes(most // 8 + 1, "little")
+    # as it is, or with one large group more, one less, or two exchanged
+    unit = math.gcd(*(s for s, _ in small)) or 1
+    out = [0, *_varied([s for s, n in taken.items() if n], unit)]
+    into = [0, *_varied([s for s, n in large if n > taken[s]], unit)]
+    for a, b in ((a, b) for a in out for b in into):
+        at = rest + a - b
+        if 0 <= at <= most and held[at >> 3] >> (at & 7) & 1:
+            found = _pick(bundles[:used], at)
+            for s, n in ((*taken.items(), (a, -1), (b, 1)) if a != b else taken.items()):
+                found[s] = found.get(s, 0) + n
+            return {s: n for s, n in found.items() if s and n}
+    return None
 
 
 def closest_fill(sizes: list[tuple[int, int]], target: int, bits: int = BITSET_BITS) -> dict[int, int]:
-    """How many groups of each size to take so that the rows come closest to ``target``.
-
-    ``sizes`` holds (size, groups of that size). Up to ``bits`` a bit set of all totals gives the closest
-    one. Beyond it the smallest groups, of ``bits`` rows together, are kept back; larger ones are taken from
-    the top while they fit, and a bit set of what the small ones reach closes the gap. A total that meets
-    the target is the closest there is, as with any single rows at hand; else exchanges of two larger sizes
-    are tried, and what is left of the gap is under the size of the smallest group taken from the top.
-    Memory is about ``bits`` x 5 bytes and the table of sizes, however many sizes there are.
+    """How many groups of each size to take so that the rows come closest to ``target``; of two totals as close, the smaller.
+
+    ``sizes`` holds (size, groups of that size). All sizes are counted in their greatest common divisor.
+    Groups taken from the top leave a gap below the largest size D; some closest choice differs from them in
+    fewer than 2 D groups, as of more steps some would cancel out, so only so many of a size are open.
+    Totals that can't be beaten are looked for first: large groups from the top, a bit set of the smallest
+    ones, of ``bits`` rows together, then of eight times as many. If there is none, a bit set of all totals up
+    to the target tells the closest. ``bits`` only decides how much work is tried first, never the total.
+    Memory is about half a byte for each unit of the target that is open, at most.
     """
     sizes = sorted((s, m) for s, m in sizes if s > 0 and m > 0)
     if target <= 0 or not sizes:
         return {}
-    if target < bits:
-        return _direct_fill(sizes, target)
-    small, large, room = [], [], bits - 2
-    for size, many in sizes:
-        n = min(many, room // size)
-        room = room - n * size if n == many else 0
-        if n:
-            small.append((size, n))
-        if many > n:
-            large.append((size, many - n))
-    left, taken, rest = {}, {}, target
-    for size, many in reversed(large):
-        n = min(many, rest // size)
-        rest -= n * size
-        taken[size], left[size] = n, many - n
-    bundles = _bundled(small)
-    reach, first = _reach([s * n for s, n in bundles], bits)
-    fits = lambda goal: abs(goal - _closest(reach, goal))
-    best, swap = fits(rest), (0, 0)
-    if best:
-        # one larger group more, one less, or two exchanged; nearest sizes first
-        out = [0, *sorted(s for s, n in taken.items() if n)][:EXCHANGES]
-        into = [0, *sorted(s for s, n in left.items() if n)][:EXCHANGES]
-        for a, b in ((a, b) for a in out for b in into if a != b):
-            if rest + a - b < bits and (gap := fits(rest + a - b)) < best:
-                best, swap = gap, (a, b)
-                if not best:
-                    break
-    for size, step in zip(swap, (-1, 1), strict=True):
-        if size:
-            taken[size] += step
-    at = _closest(reach, rest + swap[0] - swap[1])
-    while at:
-        size, n = bundles[first[at]]
-        taken[size] = taken.get(size, 0) + n
-        at -= size * n
-    return {s: n for s, n in taken.items() if n}
+    # a group that is larger than this is further off by itself
+    gap = _from_top(sizes, target)[1]
+    sizes = [(s, m) for s, m in sizes if s <= target + gap]
+    if target >= sum(s * m for s, m in sizes):
+        return dict(sizes)
+    unit = math.gcd(*(s for s, _ in sizes))
+    units = [(s // unit, m) for s, m in sizes]
+    top, _ = _from_top(units, target // unit)
+    largest = units[-1][0]
+    # what is taken or left at any rate, and what is open
+    span = largest * largest + largest
+    least = lambda n, s: min(n, span // s, 2 * largest)
+    fixed = {s: n - least(n, s) for s, n in top.items()}
+    open_ = [(s, least(top[s], s) + least(m - top[s], s)) for s, m in units]
+    target -= unit * sum(s * n for s, n in fixed.items())
+    goal, over = divmod(target, unit)
+    best = goal + (2 * over > unit)
+    # totals further off than what the top leaves don't matter
+    width = (target + gap) // unit + 1
+    open_ = [(s, min(m, (width - 1) // s)) for s, m in open_ if 0 < s < width and m]
+    taken = None
+    while taken is None and bits < width:
+        taken = _meet(open_, best, bits)
+        bits *= 8
+    if taken is None:
+        bundles = _bundled(open_)
+        reach, used = _reach(bundles, width, best)
+        below, above = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1, reach >> (goal + 1)
+        up = goal + (above & -above).bit_length()
+        taken = _pick(bundles[:used], up if above and up * unit - target < target - below * unit else below)
+    for s, n in fixed.items():
+        taken[s] = taken.get(s, 0) + n
+    return {s * unit: n for s, n in taken.items() if n}
 
 
 def assign_splits(spark: SparkSession, groups: DataFrame, id_col: str, shares: Sequence[tuple[str, float]] = (("train", 0.8), ("validation", 0.1), ("test", 0.1)), seed: int = 42) -> DataFrame:

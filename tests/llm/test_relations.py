@@ -218,3 +218,38 @@ def test_fill_of_many_sizes_is_bounded():
 
 def test_fill_of_a_single_large_group():
     assert related.closest_fill([(100, 1)], 80) == {100: 1} and related.closest_fill([(100, 1)], 40) == {} and related.closest_fill([(1000, 1)], 600) == {1000: 1}
+
+
+def test_fill_is_closest_at_any_size():
+    # no single rows: the closest total must not depend on whether one bit set covers the target
+    rng = random.Random(11)
+    for scale in (1, 100_003):
+        for _ in range(60):
+            sizes = [(s * scale + (scale > 1) * rng.randint(0, 9), rng.randint(1, 6)) for s in rng.sample(range(20, 70), rng.randint(2, 4))]
+            totals = {0}
+            for s, m in sizes:
+                totals = {t + s * k for t in totals for k in range(m + 1)}
+            target = rng.randint(max(totals) // 3, max(totals))
+            closest = min(totals, key=lambda t: (abs(target - t), t))
+            for bits in (64, 1 << 22) if scale == 1 else (1 << 22,):
+                taken = related.closest_fill(sizes, target, bits)
+                assert all(0 < n <= dict(sizes)[s] for s, n in taken.items())
+                assert sum(s * n for s, n in taken.items()) == closest
+
+
+def test_fill_of_many_groups_of_few_sizes():
+    # few of many groups are open, so the reach is counted in sizes and not in rows
+    for sizes in ([(6, 500), (10, 400), (15, 3)], [(35, 90), (36, 80)], [(12, 300), (18, 200), (31, 1)]):
+        totals = 1
+        for s, m in sizes:
+            for _ in range(m):
+                totals |= totals << s
+        for target in range(2_000, 2_100):
+            want = next(g for g in range(99) if totals >> (target - g) & 1 or totals >> (target + g) & 1)
+            assert gap_of(sizes, target) == gap_of(sizes, target, bits=64) == want
+    assert gap_of([(1_000, 10**9), (1_001, 10**9)], 10**11 + 499) == 0
+    # one odd group among even ones, and one that is too large for any split
+    even = [(s, 2) for s in range(2, 8_001, 2)]
+    for target in (16_000_000, 16_000_001):
+        assert gap_of([*even, (99_999, 1)], target) == 0
+    assert gap_of([*even, (99_999_999, 1)], 16_000_001) == 1
