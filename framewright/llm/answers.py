@@ -45,6 +45,7 @@ WORD_CACHE = 200_000
 FILLERS = frozenset("empty,n a,na,nan,nil,no answer,none,null,tbd,todo,undefined,unknown,keine,leer,ninguna,ninguno,nada,aucun,aucune,rien,vide,없음".split(","))
 
 _WORDS = re.compile(r"[^\W_]+")
+_HANGUL = re.compile(r"[가-힣]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"”’»)]*\s+|\n+")
 _LETTER_NEAR_END = re.compile(r"(?:[Oo]ption|[Oo]pción)\s+[A-J](?!\w)|(?<![\w'’])[A-HJ](?=번|이다|[.!:,)”]|\W*$)")
 
@@ -63,12 +64,13 @@ class Languages:
         vocabulary = {t for c in counts.values() for t in c}
         self.names = sorted(counts)
         totals = np.array([sum(counts[k].values()) + 0.5 * len(vocabulary) for k in self.names]) if self.names else np.zeros(0)
-        self.score: dict[str, np.ndarray] = {}
-        for t in vocabulary:
-            row = np.array([counts[k][t] + 0.5 for k in self.names]) / totals
-            self.score[t] = np.clip(np.log(row / row.mean()), -3, 3)
-        # rows of tokens met so far: a score per language, Korean words, words that are no numbers
-        self.rows = np.zeros((1, len(self.names) + 2))
+        # a score per language, Korean words, words that are no numbers: of tokens, and of words met so far
+        self.score: dict[str, int] = {t: k for k, t in enumerate(vocabulary)}
+        self.scores = np.zeros((len(vocabulary), len(self.names) + 2))
+        for t, k in self.score.items():
+            row = np.array([counts[n][t] + 0.5 for n in self.names]) / totals
+            self.scores[k, :-2] = np.clip(np.log(row / row.mean()), -3, 3)
+        self.rows = np.zeros((1024, len(self.names) + 2))
         self.place: dict[str, int] = {}
 
     @staticmethod
@@ -79,44 +81,45 @@ class Languages:
                 out += [w, "^" + w[:2], "$" + w[-2:]]
         return out
 
-    def _learn(self, tokens: list[str]) -> None:
-        zero = np.zeros(len(self.names) + 2)
-        made = [zero]
-        for t in tokens:
-            row = zero.copy()
-            for w in _WORDS.findall(t):
-                row[-2] += any("가" <= c <= "힣" for c in w)
-                row[-1] += not w.isdigit()
-                for x in self.tokens([w]):
-                    if x in self.score:
-                        row[:-2] += self.score[x]
-            made.append(row)
-        if len(self.place) + len(tokens) > WORD_CACHE:
-            self.place, self.rows = {}, self.rows[:1]
-        first = len(self.rows)
-        self.rows = np.concatenate([self.rows, np.array(made[1:]).reshape(-1, len(zero))])
-        self.place.update(zip(tokens, range(first, first + len(tokens)), strict=True))
-
-    def guess(self, text: str) -> tuple[str | None, float]:
-        """(language, lead over the next in log odds) of a text in lower case; None without words to go by."""
-        if len(self.names) < 2:
+    def _learn(self, words: list[str]) -> None:
+        if len(self.place) + len(words) > WORD_CACHE:
+            self.place = {}
+        first, many = len(self.place), len(words)
+        # room grows by doubling, so that few words at a time cost no copies of all rows
+        if first + many > len(self.rows):
+            self.rows = np.concatenate([self.rows[:first], np.zeros((max(first, many, 1024), self.rows.shape[1]))])
+        made = self.rows[first : first + many]
+        made[:] = 0.0
+        at, of = [], []
+        for k, w in enumerate(words):
+            for x in self.tokens([w]):
+                if (i := self.score.get(x)) is not None:
+                    at.append(k)
+                    of.append(i)
+        np.add.at(made, at, self.scores[of])
+        made[:, -2] = [_HANGUL.search(w) is not None for w in words]
+        made[:, -1] = [not w.isdigit() for w in words]
+        self.place.update(zip(words, range(first, first + many), strict=True))
+
+    def guess(self, words: list[str]) -> tuple[str | None, float]:
+        """(language, lead over the next in log odds) of the words of a text in lower case; None without words to go by."""
+        if len(self.names) < 2 or not words:
             return None, 0.0
-        tokens = text.split()
         try:
-            at = [self.place[t] for t in tokens]
+            at = list(map(self.place.__getitem__, words))
         except KeyError:
-            new = [t for t in dict.fromkeys(tokens) if t not in self.place]
+            new = [w for w in dict.fromkeys(words) if w not in self.place]
             if len(self.place) + len(new) > WORD_CACHE:
-                new = list(dict.fromkeys(tokens))
+                new = list(dict.fromkeys(words))
             self._learn(new)
-            at = [self.place[t] for t in tokens]
-        z = self.rows.take(at, axis=0).sum(axis=0)
-        if z[-1] == 0:
+            at = list(map(self.place.__getitem__, words))
+        *z, korean, spoken = self.rows.take(at, axis=0).sum(axis=0).tolist()
+        if spoken == 0:
             return None, 0.0
-        if z[-2] * 2 > z[-1]:
+        if korean * 2 > spoken:
             return "ko", 99.0
-        first, second = sorted(z[:-2].tolist(), reverse=True)[:2]
-        return (self.names[int(z[:-2].argmax())], first - second) if first > second else (None, 0.0)
+        second, first = sorted(z)[-2:]
+        return (self.names[z.index(first)], first - second) if first > second else (None, 0.0)
 
 
 _NAMES_OPTION = frozenset(("option", "option_closed", "letter", "letter_in_brackets", "letter_marked"))
@@ -164,32 +167,35 @@ def label(s: str, w: list[str], text: str, question: list[str], q_lang: str | No
         return None
     if len(w) <= 6 and reaches_answer(s, kind, state):
         return None
-    lang, lead = languages.guess(s.lower())
-    if lang and q_lang and lang != q_lang and lead > 6.0 and len(w) >= 4:
-        return "other_language"
+    if q_lang and len(w) >= 4:
+        lang, lead = languages.guess(w)
+        if lang and lang != q_lang and lead > 6.0:
+            return "other_language"
     if state == "sound":
         return None
     return "truncated" if model.cut(s, cores, len(text), kind, limits) else None
 
 
-def opening_of(s: str, question: set[str]) -> str:
+def opening_of(sentences: list[list[str]], question: set[str]) -> str:
     """The first sentence that doesn't restate the question, at most OPENING_WORDS words of it."""
-    for part in _SENTENCE.split(s, maxsplit=OPENING_SENTENCES)[:OPENING_SENTENCES]:
-        w = words_of(part)
+    for w in sentences:
         # a lead-in names things of the question; a template does not
-        if w and (len(w) < 6 or sum(1 for x in w[4:] if x in question) < 0.6 * len(w[4:])):
+        if w and (len(w) < 6 or sum([x in question for x in w[4:]]) < 0.6 * len(w[4:])):
             return " ".join(w[:OPENING_WORDS])
     return ""
 
 
 def keys_of(s: str, question: set[str]) -> list[str]:
     """The opening of a response, its first sentences and their last words, as templates vary in how they begin."""
-    keys = [opening_of(s, question)]
-    for part in _SENTENCE.split(s, maxsplit=OPENING_SENTENCES)[:OPENING_SENTENCES]:
-        w = words_of(part)[:OPENING_WORDS]
-        keys.append(" ".join(w) if len(w) >= 4 else "")
-        keys.append("~ " + " ".join(w[-TAIL_WORDS:]) if TAIL_WORDS <= len(w) < OPENING_WORDS else "")
-    return sorted({k for k in keys if k})
+    sentences = [words_of(part) for part in _SENTENCE.split(s, maxsplit=OPENING_SENTENCES)[:OPENING_SENTENCES]]
+    keys = {opening_of(sentences, question)}
+    for w in sentences:
+        w = w[:OPENING_WORDS]
+        if len(w) >= 4:
+            keys.add(" ".join(w))
+        if TAIL_WORDS <= len(w) < OPENING_WORDS:
+            keys.add("~ " + " ".join(w[-TAIL_WORDS:]))
+    return sorted(keys - {""})
 
 
 def key_hash(key: str) -> int:
@@ -305,7 +311,7 @@ def refusal_openings(responses: DataFrame) -> DataFrame:
 def respond(r, model: E.Endings, languages: Languages, limits: dict[str, frozenset[int]]) -> list[tuple]:
     """(id, field, own defect, keys, their hashes if it reaches an answer, whether it does, prompt) of the responses of a record."""
     question, cores = words_of(r.question), E.option_cores(r.options)
-    q_lang, lead = languages.guess((r.question or "").lower())
+    q_lang, lead = languages.guess(question)
     if lead < 3.0:
         q_lang = (r.question_lang or "").strip().lower()[:2] or None
     known, prompt = set(question), zlib.crc32(" ".join(question).encode())

@@ -220,3 +220,20 @@ def test_limits_of_short_fields_and_scores(spark):
     got = {(r.table_name, r.rec_id): r for r in truncation.truncated_records(df, export).collect()}
     assert all(0.0 <= r.score <= 1.0 and r.is_cut == (r.score > 0.5) for r in got.values()) and got["sft_export", 1].score == 1.0 and got["sft_export", 2].score == 0.0
     assert sum(got["sft_raw", 1000 + i].is_cut for i in range(40)) >= 36
+
+
+def test_words_met_one_at_a_time_cost_no_copies(monkeypatch):
+    known = answers.Languages([("en", "the cat sat on the mat"), ("de", "die katze sass auf der matte")])
+    words = [f"w{k}" for k in range(20_000)]
+    tables = {id(known.rows): known.rows}
+    for w in words:
+        assert known.guess([w, "the", "the", "7"]) == known.guess(["the", w, "the"])
+        tables[id(known.rows)] = known.rows
+    assert len(tables) < 8 and len(known.place) == 20_002
+    # a full cache starts anew and changes no result
+    monkeypatch.setattr(answers, "WORD_CACHE", 3)
+    want = [("en", "the cat"), ("de", "die matte"), ("ko", "고양이 매트 cat"), (None, "12 7"), (None, ""), ("de", "auf der zaun die wand ist kalt")]
+    fresh = answers.Languages([("en", "the cat sat on the mat"), ("de", "die katze sass auf der matte")])
+    for lang, text in want * 2:
+        got = fresh.guess(answers.words_of(text))
+        assert got[0] == lang and got == known.guess(answers.words_of(text))
