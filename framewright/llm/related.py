@@ -175,7 +175,7 @@ def closest_fill(sizes: list[tuple[int, int]], target: int, bits: int = BITSET_B
     Totals that can't be beaten are looked for first: large groups from the top, a bit set of the smallest
     ones, of ``bits`` rows together, then of eight times as many. If there is none, a bit set of all totals up
     to the target tells the closest. ``bits`` only decides how much work is tried first, never the total.
-    Memory is about half a byte for each unit of the target that is open, at most.
+    Memory is about a byte for each unit of the target that is open, at most.
     """
     sizes = sorted((s, m) for s, m in sizes if s > 0 and m > 0)
     if target <= 0 or not sizes:
